@@ -51,4 +51,4 @@ def sql_strip(expr: str) -> str:
 
 def sql_tokens(expr: str) -> str:
     """DuckDB form of :func:`py_split` (unnest-able list)."""
-    return f"list_filter(regexp_split_to_array({expr}, '{PY_WS_SQL}+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, '{PY_WS_SQL}+'), lambda x: x <> '')"
