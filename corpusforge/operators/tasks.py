@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.numbering import global_index
+from corpusforge.session import cut_lineage
 
 # Fixed values (must equal the reference output byte for byte).
 TASK_PREFIX = "qiskitHumanEval"
@@ -36,8 +37,10 @@ def difficulty(stmts, calls, branches) -> Column:
 def number_functions(valid: DataFrame, prefix: str = TASK_PREFIX,
                      order_cols=("repo", "path", "fn_ord")) -> DataFrame:
     """P5: 0-based running number over valid functions in a total order,
-    assigned before dedup; ``task_id = prefix/n``."""
-    out = global_index(valid, list(order_cols), "task_no")
+    assigned before dedup; ``task_id = prefix/n``. The input (the output of
+    the Python extraction pass) is materialised once so the range sampling
+    and the shuffle do not parse the files again."""
+    out = global_index(cut_lineage(valid), list(order_cols), "task_no")
     return out.withColumn("task_id", F.concat(F.lit(prefix + "/"), F.col("task_no").cast("string")))
 
 
