@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusforge.functions.text import normalize_newlines
 from corpusforge.sources import schemas
@@ -122,12 +122,20 @@ def read_preferences_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_completions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Completion records; rows that are not objects of the schema land
-    in ``_corrupt_record`` (E2 quarantines them)."""
-    schema = StructType(schemas.COMPLETIONS.fields + [StructField("_corrupt_record", StringType())])
-    return (spark.read.schema(schema).option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    """Completion records. JSON Lines (splittable) by default; with
+    ``multiline`` one JSON array per file (the reference format, one task
+    per file). Entries that are not objects land in ``_corrupt_record`` one
+    by one (E2 quarantines them, the rest goes on)."""
+    if not multiline:
+        schema = StructType(schemas.COMPLETIONS.fields + [StructField("_corrupt_record", StringType())])
+        return (spark.read.schema(schema).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    raw = spark.read.text(path, wholetext=True)
+    elems = raw.select(F.explode(F.from_json("value", ArrayType(StringType()))).alias("_raw"))
+    is_obj = F.ltrim(F.col("_raw")).startswith("{")
+    parsed = elems.select("_raw", F.when(is_obj, F.from_json("_raw", schemas.COMPLETIONS)).alias("_r"))
+    return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schemas.COMPLETIONS.fields],
+                         F.when(~is_obj | F.col("_r").isNull(), F.col("_raw")).alias("_corrupt_record"))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
