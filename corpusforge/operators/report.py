@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.session import join_group_stats
+
 
 def rates_long(summary: DataFrame, id_col: str = "model",
                value_cols=("compile_rate", "sim_rate")) -> DataFrame:
@@ -44,35 +46,36 @@ def histogram(df: DataFrame, col: str, by: str, bins: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFrame:
     """V3: per group Q1, median, Q3 (linear interpolation), whiskers at the
     most extreme values within ``whis * IQR`` (clamped to the quartiles),
-    number of outliers beyond them."""
+    number of outliers beyond them. Two passes: the quartiles (partial
+    aggregation keeps a value->count map per group), then one pass with the
+    group's quartiles broadcast (size-checked) for whiskers and outliers. A
+    value is beyond a whisker exactly when it is beyond the fence."""
     vals = df.where(F.col(col).isNotNull()).select(by, F.col(col).cast("double").alias("_x"))
     q = (vals.groupBy(by)
          .agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
          .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3")))
     iqr = F.col("q3") - F.col("q1")
-    j = vals.join(q, by)
-    inside_hi = F.col("_x") <= F.col("q3") + whis * iqr
-    inside_lo = F.col("_x") >= F.col("q1") - whis * iqr
-    w = (j.groupBy(by, "q1", "median", "q3")
-         .agg(F.max(F.when(inside_hi, F.col("_x"))).alias("_hi"),
-              F.min(F.when(inside_lo, F.col("_x"))).alias("_lo")))
-    w = w.select(by, "q1", "median", "q3",
-                 F.when(F.col("_lo").isNull() | (F.col("_lo") > F.col("q1")), F.col("q1"))
-                 .otherwise(F.col("_lo")).alias("whisker_lo"),
-                 F.when(F.col("_hi").isNull() | (F.col("_hi") < F.col("q3")), F.col("q3"))
-                 .otherwise(F.col("_hi")).alias("whisker_hi"))
-    n_out = (vals.join(w.select(by, "whisker_lo", "whisker_hi"), by)
-             .groupBy(by)
-             .agg(F.count(F.when((F.col("_x") < F.col("whisker_lo"))
-                                 | (F.col("_x") > F.col("whisker_hi")), 1)).alias("n_outliers")))
-    return w.join(n_out, by)
+    hi_fence = F.col("q3") + whis * iqr
+    lo_fence = F.col("q1") - whis * iqr
+    w = (join_group_stats(vals, q, by)
+         .groupBy(by, "q1", "median", "q3")
+         .agg(F.max(F.when(F.col("_x") <= hi_fence, F.col("_x"))).alias("_hi"),
+              F.min(F.when(F.col("_x") >= lo_fence, F.col("_x"))).alias("_lo"),
+              F.count(F.when((F.col("_x") > hi_fence) | (F.col("_x") < lo_fence), 1))
+               .alias("n_outliers")))
+    return w.select(by, "q1", "median", "q3",
+                    F.when(F.col("_lo").isNull() | (F.col("_lo") > F.col("q1")), F.col("q1"))
+                     .otherwise(F.col("_lo")).alias("whisker_lo"),
+                    F.when(F.col("_hi").isNull() | (F.col("_hi") < F.col("q3")), F.col("q3"))
+                     .otherwise(F.col("_hi")).alias("whisker_hi"),
+                    "n_outliers")
 
 
 def box_outliers(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFrame:
     """V3 fliers as rows ``(group, value)``."""
     st = box_stats(df, col, by, whis).select(by, "whisker_lo", "whisker_hi")
     x = F.col(col).cast("double")
-    return (df.where(F.col(col).isNotNull()).join(st, by)
+    return (join_group_stats(df.where(F.col(col).isNotNull()), st, by)
             .where((x < F.col("whisker_lo")) | (x > F.col("whisker_hi")))
             .select(by, x.alias(col)))

@@ -263,7 +263,8 @@ def q_fidelity_hist(spark, sf):
 
 
 def q_depth_box(spark, sf):
-    return report.box_stats(_outcomes(spark, sf), "depth", "model")
+    o = cut_lineage(_outcomes(spark, sf))   # two passes over it
+    return report.box_stats(o, "depth", "model")
 
 
 QUERIES = {

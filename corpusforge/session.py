@@ -67,3 +67,21 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+# Largest per-group stats table broadcast to every task; beyond it the join is
+# left to the planner (sort-merge with AQE skew splitting).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_group_stats(rows: DataFrame, stats: DataFrame, on, how: str = "inner",
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Attach a per-group stats table (one row per group) to row-level data.
+    A few hot groups would put whole groups into single tasks under a
+    hash-partitioned join, so the stats side is broadcast when its row count
+    is checked to be small; otherwise the planner picks (AQE splits skew)."""
+    stats = stats.persist()
+    if stats.count() <= max_rows:
+        from pyspark.sql import functions as F
+        return rows.join(F.broadcast(stats), on, how)
+    return rows.join(stats, on, how)
