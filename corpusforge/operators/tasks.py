@@ -35,12 +35,13 @@ def difficulty(stmts, calls, branches) -> Column:
 
 
 def number_functions(valid: DataFrame, prefix: str = TASK_PREFIX,
-                     order_cols=("repo", "path", "fn_ord")) -> DataFrame:
+                     order_cols=("repo", "path", "fn_ord"), materialize: bool = True) -> DataFrame:
     """P5: 0-based running number over valid functions in a total order,
     assigned before dedup; ``task_id = prefix/n``. The input (the output of
     the Python extraction pass) is materialised once so the range sampling
-    and the shuffle do not parse the files again."""
-    out = global_index(cut_lineage(valid), list(order_cols), "task_no")
+    and the shuffle do not parse the files again (skip when the caller
+    already materialised it)."""
+    out = global_index(cut_lineage(valid) if materialize else valid, list(order_cols), "task_no")
     return out.withColumn("task_id", F.concat(F.lit(prefix + "/"), F.col("task_no").cast("string")))
 
 

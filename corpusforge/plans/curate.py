@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from corpusforge.operators.dedup import near_dedup
 from corpusforge.operators.extract import (extract_function_rows, quarantined_files,
                                            valid_functions)
+from corpusforge.session import cut_lineage
 from corpusforge.operators.tasks import (KEYWORD, TASK_PREFIX, difficulty_counts,
                                          keyword_filter, number_functions,
                                          preference_rows, task_rows)
@@ -31,8 +32,8 @@ def curate(files: DataFrame, keyword: str | None = KEYWORD, variant: bool = Fals
     numbers keep their gaps), then D1 + D2 run in that order."""
     if keyword is not None:
         files = keyword_filter(files, keyword)
-    fns = extract_function_rows(files).persist()         # one Python pass per file
-    numbered = number_functions(valid_functions(fns), prefix)
+    fns = cut_lineage(extract_function_rows(files))      # one Python pass per file
+    numbered = number_functions(valid_functions(fns), prefix, materialize=False)
     tasks = task_rows(numbered, variant=variant, keep_order=True)
     kept = near_dedup(tasks, "task_no", "canonical_solution", threshold)
     return Curated(tasks=kept,
