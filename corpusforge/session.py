@@ -64,6 +64,8 @@ def spread(df: DataFrame) -> DataFrame:
     cores, e.g. one big row group) before heavy per-row work. A many-file
     input at scale already has enough splits and is left as is."""
     target = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already shuffled upstream: spark.sql.shuffle.partitions wide
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
@@ -85,3 +87,18 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, on, how: str = "inner",
         from pyspark.sql import functions as F
         return rows.join(F.broadcast(stats), on, how)
     return rows.join(stats, on, how)
+
+
+def bucketed_table(df: DataFrame, col: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``col`` under the shared checkpoint
+    folder and read it back. Cuts lineage like a checkpoint, and unlike a
+    checkpoint under AQE the planner keeps knowing the rows are hash
+    partitioned by ``col``, so later per-key windows, aggregates and joins on
+    it need no shuffle. One file per bucket (repartitioned first)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, name)
+    table = "cf_" + name.replace("-", "_") + "_" + uuid.uuid4().hex[:12]
+    (df.repartition(buckets, col).write.option("path", path)
+       .bucketBy(buckets, col).mode("error").saveAsTable(table))
+    return spark.table(table)
