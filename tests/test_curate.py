@@ -69,3 +69,11 @@ def test_score_pairs_by_task_id(spark):
     assert got["t/2"]["r_fidelity"] == 0.0            # empty reference
     assert got["t/9"]["r_fidelity"] == 0.0            # no task at all
     assert all(got[t]["r_format"] == 1.0 and got[t]["r_import"] == 1.0 for t in got)
+
+
+def test_curate_variant(spark):
+    files = spark.createDataFrame([("o/a", "a.py", 200, A)],
+                                  "repo string, path string, status int, content string")
+    row = curate(files, variant=True).tasks.first()
+    assert row["prompt"] == "# Make a thing.\n\n# Implement function `build` below."
+    assert row["test"] == "def check(candidate):\n    # TODO: write tests for `build`\n    pass\n"
