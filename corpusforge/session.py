@@ -63,12 +63,14 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a thin input (fewer partitions than the cluster has
     cores, e.g. one big row group) before heavy per-row work. A many-file
     input at scale already has enough splits and is left as is."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # already shuffled upstream: spark.sql.shuffle.partitions wide
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df  # already shuffled upstream: spark.sql.shuffle.partitions wide
+        thin = df.rdd.getNumPartitions() < target
+    except Exception:  # no JVM handle (e.g. a remote session): leave it to the planner
+        return df
+    return df.repartition(target) if thin else df
 
 
 # Largest per-group stats table broadcast to every task; beyond it the join is
