@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.operators.tasks import TASK_PREFIX
+from corpusforge.session import spread
 
 NL = "\n"
 
@@ -61,7 +62,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- tasks from `documents` ----------------------------------------------------
 
 def document_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))     # whole texts: heavy per-row work
     return d.select(
         "doc_id",
         F.concat(F.lit(TASK_PREFIX + "/"), F.col("doc_id").cast("string")).alias("task_id"),
