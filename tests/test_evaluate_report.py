@@ -86,3 +86,14 @@ def test_rates_long(spark):
     s = spark.createDataFrame([("A", 0.5, 0.25)], "model string, compile_rate double, sim_rate double")
     rows = sorted(tuple(r) for r in report.rates_long(s).collect())
     assert rows == [("A", "compile_rate", 0.5), ("A", "sim_rate", 0.25)]
+
+
+def test_box_outliers_rows(spark):
+    data = {"A": [1, 2, 2, 3, 4, 5, 40], "B": [7, 7, 7, 7, -50]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "model string, depth int")
+    got = sorted(tuple(r) for r in report.box_outliers(df, "depth", "model").collect())
+    want = []
+    for k, vs in data.items():
+        q1, med, q3, wlo, whi, nout = _box_numpy(vs)
+        want += [(k, float(v)) for v in vs if v < wlo or v > whi]
+    assert got == sorted(want)
