@@ -66,7 +66,7 @@ def extract_functions(code: str):
         snippet = "\n".join(lines[node.lineno - 1:last])
         if len(snippet.strip()) > MIN_SNIPPET_CHARS:
             doc = ast.get_docstring(node) or ""
-            sub, sub_status = parse(snippet)
+            sub = None if _indented(lines[node.lineno - 1], node.col_offset) else parse(snippet)[0]
             if sub is not None:
                 stmts, calls, branches = node_counts(sub)
             else:
@@ -76,6 +76,14 @@ def extract_functions(code: str):
     return status, rows
 
 
+def _indented(line: str, col_offset: int) -> bool:
+    """True when the def line starts with indentation (spaces or tabs after
+    any form feed): such a snippet can never parse on its own (unexpected
+    indent), so the parse is skipped. Anything else is parsed."""
+    head = line.encode("utf-8")[:col_offset].rsplit(b"\f", 1)[-1]
+    return bool(head) and not head.strip(b" \t")
+
+
 def function_shape(src: str) -> tuple[bool, int]:
     """R3's parse half: ``(parses, number of synchronous defs anywhere)``."""
     tree, _ = parse(src)

@@ -96,3 +96,21 @@ def test_syntax_counts(spark):
     assert r["num_stmts"] == 5
     assert r["num_calls"] == 3
     assert r["num_branches"] == 3
+
+
+def test_indented_snippets_never_parse_and_form_feed_is_not_indent(spark):
+    from corpusforge.functions.pyast import extract_functions
+    src = ("class K:\n    def method(self, value):\n        return value * 2\n\n"
+           "\x0cdef after_form_feed(a, b):\n    return a + b + 1\n")
+    status, rows = extract_functions(src)
+    got = {r[2]: r[5] for r in rows}
+    assert status == "ok"
+    assert got == {"method": False, "after_form_feed": True}
+    # the shortcut agrees with a real parse of the snippet
+    import ast
+    for r in rows:
+        try:
+            ast.parse(r[3]); ok = True
+        except SyntaxError:
+            ok = False
+        assert ok == r[5]
