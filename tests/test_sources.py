@@ -99,3 +99,15 @@ def test_summary_and_missing_detail(spark, tmp_path):
     assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
     assert [tuple(r) for r in rd.read_summary_csv(spark, path).collect()] == [tuple(s.first())]
     assert rd.read_outcomes_csv(spark, str(tmp_path / "absent")) is None
+
+
+def test_search_pages_from_saved_json(spark, tmp_path):
+    pages = [{"page": 1, "status": 200, "items": [_item(0), _item(1)]},
+             {"page": 2, "items": [_item(2)]},                       # status absent: a saved 200
+             {"page": 3, "status": 200, "items": [_item(3)]}]        # after a short page: unread
+    path = tmp_path / "pages.jsonl"
+    path.write_text("\n".join(json.dumps(p) for p in pages) + "\n")
+    items = rd.listing(rd.read_search_pages(spark, str(path)), max_files=10, per_page=2)
+    rows = items.select("page", "pos", "repo", rd.raw_url().alias("url")).orderBy("page", "pos").collect()
+    assert [(r["page"], r["pos"]) for r in rows] == [(1, 0), (1, 1), (2, 0)]
+    assert rows[2]["url"] == "https://raw.githubusercontent.com/o/r2/main/p2.py"
