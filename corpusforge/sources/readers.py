@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -90,7 +92,7 @@ def read_source_files(spark: SparkSession, root: str, glob: str = "*.py",
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).load(root))
     prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _regex_quote(prefix.split("://")[-1]), "")
+    rel = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(prefix.split("://")[-1]), "")
     parts = F.split(rel, "/")
     repo = F.array_join(F.slice(parts, 1, repo_depth), "/")
     path = F.array_join(F.slice(parts, repo_depth + 1, 1 << 20), "/")
@@ -99,11 +101,6 @@ def read_source_files(spark: SparkSession, root: str, glob: str = "*.py",
     return decode_source(files)
 
 
-def _regex_quote(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 # ---- S6, S8, S9, S11: dataset readers ------------------------------------------
 
 def read_tasks_json(spark: SparkSession, path: str, variant: bool = False,
