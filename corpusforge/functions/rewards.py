@@ -19,6 +19,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from corpusforge.functions.pyast import function_shape
 from corpusforge.functions.text import PY_WS, py_strip
+from corpusforge.session import ship_package
 
 # Fixed values (must equal the reference's checks).
 BANNED_SUBSTRINGS = ("os.system", "subprocess", "sys.exit", "open(", "requests.", "socket.")
@@ -145,6 +146,7 @@ def prepare(completions: DataFrame, text_col: str = "text",
             module: str = IMPORT_MODULE) -> DataFrame:
     """R1-R3, R5 once per completion: answer, container flag, structure and
     import reasons. The parse UDF runs once (struct column, then fields)."""
+    ship_package(completions.sparkSession)
     ans = completions.withColumn("answer", extract_answer(text_col)) \
                      .withColumn("xml_ok", xml_ok(text_col))
     ans = ans.withColumn("_shape", function_shape_col("answer"))

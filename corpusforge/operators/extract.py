@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.pyast import extract_functions
 from corpusforge.functions.text import py_strip
-from corpusforge.session import spread
+from corpusforge.session import ship_package, spread
 from corpusforge.sources.schemas import FUNCTIONS
 
 _OUT_COLS = [f.name for f in FUNCTIONS.fields]
@@ -48,6 +48,7 @@ def extract_function_rows(files: DataFrame) -> DataFrame:
     long-snippet rule already applied (P2, P3) and the validity flag and
     counts attached; a file that does not parse yields one row with its
     ``status`` and NULL function fields (E2 isolation, the job goes on)."""
+    ship_package(files.sparkSession)
     return spread(files.select("repo", "path", "content")).mapInPandas(_extract_batches, FUNCTIONS)
 
 

@@ -28,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -104,3 +105,29 @@ def bucketed_table(df: DataFrame, col: str, buckets: int, name: str) -> DataFram
     (df.repartition(buckets, col).write.option("path", path)
        .bucketBy(buckets, col).mode("error").saveAsTable(table))
     return spark.table(table)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusforge`` importable in the Python workers (the extraction
+    pass and the structure-check UDF reference its functions), wherever the
+    driver was started: the package is zipped once per application and
+    added with ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="corpusforge-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
