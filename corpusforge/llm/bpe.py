@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import chunks, ready
 
-CACHE = 600_000         # words a task remembers
-CHUNK = 8 << 20         # characters encoded at a time
-SCAN = 1 << 20          # characters split into words at a time
+CACHE = 400_000         # words a task remembers
+CHUNK = 4 << 20         # characters encoded at a time
+SCAN = 1 << 19          # characters split into words at a time
 
 #: Fixed value: the split pattern that `Splitter` follows without a regex engine.
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import chunks, cut, ready
 
 PASSAGE = 512
-PIECE = 1 << 20         # bytes of one text described at a time, a multiple of PASSAGE
-CHUNK = 2 << 20
+PIECE = 1 << 19         # bytes of one text described at a time, a multiple of PASSAGE
+CHUNK = 1 << 19
 KINDS = 14
 FEATURES = KINDS * KINDS + 2
 PER_CLASS = 2000

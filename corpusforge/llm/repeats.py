@@ -95,7 +95,11 @@ def _pieces(texts, t: int, gram: int):
 
 
 def _anchor_rows(pieces, t: int, gram: int):
-    """Arrays row, pos, left, right, gram hash, context hash of all anchors."""
+    """Arrays row, pos, left, right, gram hash, context hash and number of the
+    anchors, one entry for all anchors of a piece that agree in gram and
+    context (pos is the first), and their merged spans: ends of each entry's
+    list, starts and ends of the spans. Periodic text has an anchor in every
+    period, which this keeps from becoming rows."""
     row, lo, own, end, parts = zip(*pieces)
     row, lo, own, end = map(np.array, (row, lo, own, end))
     size = np.array([len(p) for p in parts])
@@ -115,7 +119,16 @@ def _anchor_rows(pieces, t: int, gram: int):
     mine = (pos >= own[piece]) & (pos < end[piece])
     p, piece, pos, a, z = p[mine], piece[mine], pos[mine], a[mine], z[mine]
     ctx = _mix((pre[z] - pre[a]) * back[a]) ^ _mix(((p - a) * 4096 + (z - p)).astype(np.uint64))
-    return row[piece], pos, p - a, z - p, g[p], ctx
+    left, right, g = p - a, z - p, g[p]
+    order = np.lexsort((pos, ctx, g, piece))
+    piece, pos, left, right, g, ctx = (x[order] for x in (piece, pos, left, right, g, ctx))
+    new = np.r_[True, (piece[1:] != piece[:-1]) | (g[1:] != g[:-1]) | (ctx[1:] != ctx[:-1])][:len(pos)]
+    apart = np.r_[True, pos[1:] - left[1:] > pos[:-1] + right[:-1]][:len(pos)] | new
+    first, span = np.flatnonzero(new), np.flatnonzero(apart)
+    last = np.r_[span[1:], len(pos)] - 1
+    lists = np.r_[np.searchsorted(span, first), len(span)]
+    return (row[piece[first]], pos[first], left[first], right[first], g[first], ctx[first],
+            np.diff(np.r_[first, len(pos)]), lists, pos[span] - left[span], (pos[last[:len(span)]] + right[last[:len(span)]]))
 
 
 def _anchors(t: int, gram: int):
@@ -123,13 +136,15 @@ def _anchors(t: int, gram: int):
         for batch in batches:
             pieces = list(_pieces(batch.column(2).to_pylist(), t, gram))
             for i, j in chunks([len(p[4]) for p in pieces], CHUNK):
-                row, pos, left, right, g, ctx = _anchor_rows(pieces[i:j], t, gram)
+                row, pos, left, right, g, ctx, n, lists, s, e = _anchor_rows(pieces[i:j], t, gram)
                 own = pa.array(row)
+                spans = pa.StructArray.from_arrays([pa.array(s), pa.array(e)], names=["s", "e"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(own), batch.column(1).take(own), pa.array(pos),
                      pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)),
-                     pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64))],
-                    names=["id", "h", "pos", "l", "r", "gram", "ctx"])
+                     pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(n),
+                     pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), spans)],
+                    names=["id", "h", "pos", "l", "r", "gram", "ctx", "n", "spans"])
     return run
 
 
@@ -232,13 +247,14 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, threshold: int = 4
     src = _source(df, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()
     anchors = cut(src.where(F.length("text") >= t).mapInArrow(
-        _anchors(t, gram), f"id {kind}, h long, pos long, l int, r int, gram long, ctx long"))
+        _anchors(t, gram), f"id {kind}, h long, pos long, l int, r int, gram long, ctx long, "
+        "n long, spans array<struct<s:bigint,e:bigint>>"))
     classes = anchors.groupBy("gram", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "pos", "l", "r")).alias("one"))
+        F.sum("n").alias("n"), F.min(F.struct("id", "h", "pos", "l", "r")).alias("one"))
     classes = cut(classes)
     same = classes.where("n > 1").select("gram", "ctx")
     full = (anchors.join(same, ["gram", "ctx"])
-            .select("id", "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")))
+            .select("id", "h", F.explode("spans").alias("x")).select("id", "h", "x.*"))
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     wanted = (classes.join(several, "gram")
               .groupBy(F.col("one.id").alias("id"), F.col("one.h").alias("h"))
