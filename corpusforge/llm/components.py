@@ -35,8 +35,8 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: ``(u, v)`` of one orderable type. Returns ``(node, root)``,
-    one row for every node that has an edge to another one; root is the
-    smallest node reachable. Loops, repeated edges and nulls are harmless
+    one row for every node from which a smaller one is reachable; root is the
+    smallest. Loops, repeated edges and nulls are harmless
     (nulls are left out). An empty table gives an empty table."""
     e = cut(edges.where("u is not null and v is not null and u <> v").distinct())
     seen = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, mixing, quality, repeats, simhash
+from corpusforge.llm import bpe, html_tree, hyperplanes, mixing, quality, repeats, simhash, urls, vafile, wordpiece
 from corpusforge.llm.common import table
 
 
@@ -12,15 +12,39 @@ def op1_quality_mil(spark, sf):
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+#: The list of the query: host, path prefix, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow"))
+
+
+def op2_url_rules(spark, sf):
+    return urls.judge(table(spark, sf, "pages"), "page_id", "url", URL_RULES)
+
+
+def op3_va_top_k(spark, sf):
+    e = table(spark, sf, "embeddings")
+    e = e.where(vafile.usable(F.col("embedding"))).select("vec_id", F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    return vafile.top_k(e, "vec_id", "v", F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_mix_sources(spark, sf):
     m = mixing.mix(table(spark, sf, "documents"), "doc_id", "source", "text")
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_near_embeddings(spark, sf):
+    return hyperplanes.near_groups(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", threshold=0.98)
+
+
 def op6_simhash_groups(spark, sf):
     return simhash.simhash_groups(table(spark, sf, "documents"), "doc_id", "text", shingle=3, max_distance=3)
 
 
+def op7_main_text(spark, sf):
+    return html_tree.extract(table(spark, sf, "pages"), "page_id", "url", "html")
+
+
 def op8_byte_bpe(spark, sf):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +55,12 @@ def op8_byte_bpe(spark, sf):
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_token_counts(spark, sf):
+    import public_tokenizers
+    return wordpiece.token_counts(table(spark, sf, "documents"), "doc_id", "text",
+                                  public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_repeated_windows(spark, sf):
     out = repeats.remove_repeats(table(spark, sf, "documents"), "doc_id", "text", threshold=400)
     return out.select(
@@ -40,8 +70,9 @@ def op10_repeated_windows(spark, sf):
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op4_mix_sources, op6_simhash_groups, op8_byte_bpe,
-                                   op10_repeated_windows)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_mil, op2_url_rules, op3_va_top_k, op4_mix_sources, op5_near_embeddings, op6_simhash_groups,
+    op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows)}
 
 #: Sampling rank, offset and size classes are those of ``mixing``.
 MIX_SQL = r"""
@@ -78,4 +109,18 @@ select doc_id, size, source_size, target,
 from r
 """
 
-ORACLE = {"op4_mix_sources": MIX_SQL}
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id,
+         list_inner_product(q.v::double[], c.v::double[])::bigint score
+  from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0),
+r as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE = {"op3_va_top_k": TOP_K_SQL, "op4_mix_sources": MIX_SQL}
