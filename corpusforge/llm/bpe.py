@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import chunks, ready
+from corpusforge.llm.common import chunks, ready, slices
 
 CACHE = 400_000         # words a task remembers
-CHUNK = 4 << 20         # characters encoded at a time
+CHUNK = 2 << 20         # bytes encoded at a time
 SCAN = 1 << 19          # characters split into words at a time
 
 #: Fixed value: the split pattern that `Splitter` follows without a regex engine.
@@ -293,12 +293,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern:
 
     def run(batches):
         vocab = _vocabulary(ranks, pattern)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in chunks([len(t) for t in texts], CHUNK):
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], _lists(*vocab.encode(texts[i:j]))],
-                                                 names=[*part.schema.names[1:], "ids"])
+        for part in (part for b in batches for part in slices(b, 0, CHUNK)):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], _lists(*vocab.encode(part.column(0).to_pylist()))],
+                                             names=[*part.schema.names[1:], "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     return src.mapInArrow(run, f"{fields}, ids array<int>")

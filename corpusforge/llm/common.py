@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,14 @@ def chunks(lengths, limit: int):
         yield start, len(lengths)
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int):
+    """A batch in runs of rows whose strings in ``column`` add up to about
+    ``limit`` bytes, so that only a run at a time becomes Python objects."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for i, j in chunks(size, limit):
+        yield batch.slice(i, j - i)
+
+
 def merge_labels(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union of the pairs ``(a, b)`` in ``lab``, where every label is the
     smallest member of its set; done in place."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import chunks, cut, ready
+from corpusforge.llm.common import chunks, cut, ready, slices
 
 PASSAGE = 512
 PIECE = 1 << 19         # bytes of one text described at a time, a multiple of PASSAGE
@@ -227,7 +227,7 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
 
     def run(batches):
         known = Model(shared.value)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, 4 << 20)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(known.score(batch.column(1).to_pylist()), pa.float64())],
                 names=["id", "score"])
@@ -244,7 +244,7 @@ def filter_rows(df: DataFrame, text_col: str, model: Model, threshold: float = 0
 
     def run(batches):
         known = Model(shared.value)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, 4 << 20)):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             good = known.score([t or b"" for t in texts]) >= threshold
             yield batch.filter(pa.array(good))

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import chunks, cut, join_checked, ready
+from corpusforge.llm.common import chunks, cut, join_checked, ready, slices
 
 GRAM = 32                # bytes of the first digit
-PIECE = 1 << 20          # window starts of a long text handled at a time
-CHUNK = 2 << 20          # bytes of text handled at a time
-GROUP = 8192             # contexts of one gram compared in one task
-BATCH = 2048             # contexts of small grams compared at a time
+PIECE = 1 << 19          # window starts of a long text handled at a time
+CHUNK = 1 << 20          # bytes of text handled at a time
+GROUP = 4096             # contexts of one gram compared in one task
+BATCH = 1024             # contexts of small grams compared at a time
 
 _TABLE = np.random.default_rng(7).integers(1, 2 ** 63, 256, dtype=np.uint64) | np.uint64(1)
 _MUL = 0x9E3779B97F4A7C15
@@ -133,7 +133,7 @@ def _anchor_rows(pieces, t: int, gram: int):
 
 def _anchors(t: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2, 4 * CHUNK)):
             pieces = list(_pieces(batch.column(2).to_pylist(), t, gram))
             for i, j in chunks([len(p[4]) for p in pieces], CHUNK):
                 row, pos, left, right, g, ctx, n, lists, s, e = _anchor_rows(pieces[i:j], t, gram)
@@ -221,7 +221,7 @@ def _window_rows(t: int):
 
 
 def _cut_out(batches):
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, 1, 4 * CHUNK)):
         texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         kept = []
         for b, cuts in zip(texts, spans):
@@ -318,7 +318,7 @@ def _cut_text(at: int, chars: int | None):
     """Rows with ``spans`` in the last column -> the rows without it, the text
     cut, and column ``chars`` set to the length of the new text."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, 4 * CHUNK)):
             texts, spans = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new = []
             for b, cuts in zip(texts, spans):

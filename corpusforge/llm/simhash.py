@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import chunks, cut, join_checked, merge_labels, ready
+from corpusforge.llm.common import chunks, cut, join_checked, merge_labels, ready, slices
 from corpusforge.llm.components import components
 
 SEED = 42
@@ -75,7 +75,7 @@ def _majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 def _fingerprint_batches(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, 4 << 20)):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fp = _majority([_hashes(t or b"", k) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import ready
+from corpusforge.llm.common import ready, slices
 
 CACHE = 300_000
 
@@ -105,7 +105,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, ranks_path: str) ->
             _LOADED.clear()
             _LOADED[key] = Automaton(*pieces_of(ranks.value)), {}
         automaton, known = _LOADED[key]
-        for b in batches:
+        for b in (part for x in batches for part in slices(x, 1, 4 << 20)):
             words, tokens = [], []
             for text in b.column(1).to_pylist():
                 split = text.split()
