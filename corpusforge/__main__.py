@@ -46,9 +46,10 @@ def _evaluate(spark, a):
             df = rd.read_completions(spark, st.getPath().toString(), multiline=a.arrays)
             good, bad = ev.split_bad_rows(df, F.col("_corrupt_record").isNotNull())
             frames.append(ev.tag_model(good, model))
+            ev.tag_model(bad, model).write.mode("overwrite").json(f"{a.out}/quarantine/{model}")
     outcomes = ev.outcome_rows(ev.stack(*frames), spark.read.parquet(a.measurements))
     wr.write_outcomes_csv(outcomes, f"{a.out}/outcomes")
-    wr.write_summary_csv(ev.summarise(rd.read_outcomes_csv(spark, f"{a.out}/outcomes")),
+    wr.write_summary_csv(ev.summarise(outcomes),
                          f"{a.out}/summary")
 
 

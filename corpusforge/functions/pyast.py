@@ -8,7 +8,10 @@ Nothing here executes the input text.
 from __future__ import annotations
 
 import ast
+import re
 import warnings
+from collections.abc import Iterator
+from typing import NamedTuple
 
 # Node types counted by the grading rule.
 STMT_NODES = (ast.Assign, ast.If, ast.For, ast.While, ast.FunctionDef, ast.Return)
@@ -46,44 +49,56 @@ def node_counts(tree) -> tuple[int, int, int]:
     return stmts, calls, branches
 
 
+class FunctionSpan(NamedTuple):
+    """A synchronous ``def`` in the file text: ``text[start:end]`` runs from the
+    first character of its line to the end of its last line."""
+
+    node: ast.FunctionDef
+    start: int
+    end: int
+
+
+def function_spans(text: str, tree) -> Iterator[FunctionSpan]:
+    """Spans of all functions, one nesting level of the tree after the other."""
+    newline = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+    begin = [0, *(at + 1 for at in newline)]
+    level = [tree]
+    while level:
+        for node in level:
+            if isinstance(node, ast.FunctionDef):
+                yield FunctionSpan(node, begin[node.lineno - 1], newline[node.end_lineno - 1])
+        level = [child for node in level for child in ast.iter_child_nodes(node)]
+
+
+def parses_alone(span: FunctionSpan, text: str):
+    """Tree of the function's own text, or None. A ``def`` behind spaces or tabs
+    is an unexpected indent, which needs no parser to tell."""
+    code = text[span.start:span.end]
+    before = code.encode()[:span.node.col_offset].rsplit(b"\f", 1)[-1]
+    if before and not before.strip(b" \t"):
+        return None
+    return parse(code)[0]
+
+
 def extract_functions(code: str):
-    """P2-P4 + C1 for one file. Returns ``(status, rows)``; each row is
-    ``(fn_ord, lineno, name, snippet, docstring, snippet_parses, stmts,
-    calls, branches)``. Functions are the synchronous ``def`` nodes in
-    breadth-first order; the snippet is lines ``lineno .. end_lineno``
-    (decorators excluded). Only snippets longer than 25 stripped characters
-    are returned; counts come from parsing the snippet alone."""
+    """P2-P4 + C1 for one file: ``(status, rows)`` with rows ``(fn_ord, lineno,
+    name, snippet, docstring, snippet_parses, stmts, calls, branches)``.
+    ``fn_ord`` numbers all functions; those whose text has no more than 25
+    characters without the white space around it give no row. The counts are
+    those of the function's text parsed alone (None if it does not parse)."""
     tree, status = parse(code)
-    if tree is None:
-        return status, []
-    lines = code.split("\n")
     rows = []
-    defs = (n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef))
-    for fn_ord, node in enumerate(defs):
-        # the def line through the last line of the body (never fewer than
-        # one line); decorators sit above the def line and stay out
-        last = max(node.end_lineno or node.lineno, node.lineno)
-        snippet = "\n".join(lines[node.lineno - 1:last])
-        if len(snippet.strip()) > MIN_SNIPPET_CHARS:
-            doc = ast.get_docstring(node) or ""
-            sub = None if _indented(lines[node.lineno - 1], node.col_offset) else parse(snippet)[0]
-            if sub is not None:
-                stmts, calls, branches = node_counts(sub)
-            else:
-                stmts = calls = branches = None
-            rows.append((fn_ord, node.lineno, node.name, snippet, doc,
-                         sub is not None, stmts, calls, branches))
+    for fn_ord, span in enumerate(function_spans(code, tree) if tree else ()):
+        snippet = code[span.start:span.end]
+        if len(snippet.strip()) <= MIN_SNIPPET_CHARS:
+            continue
+        alone = parses_alone(span, code)
+        counts = node_counts(alone) if alone else (None, None, None)
+        rows.append((fn_ord, span.node.lineno, span.node.name, snippet,
+                     ast.get_docstring(span.node) or "", alone is not None, *counts))
     return status, rows
 
 
-def _indented(line: str, col_offset: int) -> bool:
-    """True when the def line starts with indentation (spaces or tabs after
-    any form feed): such a snippet can never parse on its own (unexpected
-    indent), so the parse is skipped. Anything else is parsed."""
-    head = line.encode("utf-8")[:col_offset].rsplit(b"\f", 1)[-1]
-    return bool(head) and not head.strip(b" \t")
-
-
 def function_shape(src: str) -> tuple[bool, int]:
     """R3's parse half: ``(parses, number of synchronous defs anywhere)``."""
     tree, _ = parse(src)

@@ -115,9 +115,9 @@ def r_run(df: DataFrame) -> Column:
 
 
 def r_fidelity(df: DataFrame) -> Column:
-    """2 * sqrt(fidelity); 0 when either side failed (NULL fidelity)."""
+    """2 * sqrt(fidelity); 0 when either side failed (fidelity NULL or NaN)."""
     ok = _ran() & F.coalesce(F.col("sv_ok"), F.lit(False)) & F.coalesce(F.col("ref_ok"), F.lit(False))
-    return F.coalesce(F.when(ok, 2.0 * F.sqrt(F.col("fidelity"))), F.lit(0.0))
+    return F.coalesce(F.when(ok, 2.0 * F.sqrt(F.nullif(F.col("fidelity"), F.lit(float("nan"))))), F.lit(0.0))
 
 
 def r_size(df: DataFrame) -> Column:

@@ -25,8 +25,9 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(_col(c), f"^{PY_WS}+|{PY_WS}+\\z", "")
+    """``str.strip()``. The look-behind lets a run of white space inside the
+    text be tried once only, not again from each of its characters."""
+    return F.regexp_replace(_col(c), f"^{PY_WS}+|(?<!{PY_WS}){PY_WS}+\\z", "")
 
 
 def py_split(c) -> Column:

@@ -41,21 +41,37 @@ def split_bad_rows(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
+def match_keys(completions: DataFrame, measurements: DataFrame) -> list[str]:
+    """Columns that name a completion: model and task, and ``completion_id`` if
+    both sides have it (several completions of one task)."""
+    both = set(completions.columns) & set(measurements.columns)
+    return ["model", "task_id", *(["completion_id"] if "completion_id" in both else [])]
+
+
+def check_unique(df: DataFrame, keys: list[str]) -> None:
+    """Raise if ``keys`` repeat: a join on them would multiply rows."""
+    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"rows repeat {keys}; add a completion_id to both sides")
+
+
 def outcome_rows(completions: DataFrame, measurements: DataFrame) -> DataFrame:
     """Per completion, ``compile_success`` / ``sim_success`` / ``fidelity``
     / ``depth`` with the reference defaults (0, 0, NULL, NULL without a
-    circuit; fidelity only with a non-empty reference that also ran)."""
-    c = completions.select("model", "task_id", completion_text().alias("_code"),
-                           reference_text().alias("_ref"))
-    m = measurements.select("model", "task_id", "has_circuit", "sv_ok", "ref_ok",
-                            "fidelity", "depth")
-    j = c.join(m, ["model", "task_id"], "left")
-    circuit = F.coalesce(F.col("has_circuit"), F.lit(False)) & (F.col("_code") != "")
+    circuit; fidelity only with a non-empty reference that also ran). The
+    texts are reduced to two flags before the join. Measurements that repeat
+    the key are an error."""
+    keys = match_keys(completions, measurements)
+    check_unique(measurements, keys)
+    ref = reference_text()
+    c = completions.select(*keys, (completion_text() != "").alias("_code"),
+                           (ref.isNotNull() & (ref != "")).alias("_ref"))
+    m = measurements.select(*keys, "has_circuit", "sv_ok", "ref_ok", "fidelity", "depth")
+    j = c.join(m, keys, "left")
+    circuit = F.coalesce(F.col("has_circuit"), F.lit(False)) & F.col("_code")
     sv = F.coalesce(F.col("sv_ok"), F.lit(False))
-    has_ref = F.col("_ref").isNotNull() & (F.col("_ref") != "")
-    fid_ok = circuit & sv & has_ref & F.coalesce(F.col("ref_ok"), F.lit(False))
+    fid_ok = circuit & sv & F.col("_ref") & F.coalesce(F.col("ref_ok"), F.lit(False))
     return j.select(
-        "model", "task_id",
+        *keys,
         F.when(circuit, 1).otherwise(0).cast("int").alias("compile_success"),
         F.when(circuit & sv, 1).otherwise(0).cast("int").alias("sim_success"),
         F.when(fid_ok, F.nullif(F.col("fidelity"), F.lit(float("nan")))).alias("fidelity"),
@@ -65,8 +81,8 @@ def outcome_rows(completions: DataFrame, measurements: DataFrame) -> DataFrame:
 def summarise(outcomes: DataFrame) -> DataFrame:
     """E4 + E5: per model mean compile and sim rate, mean fidelity and
     interpolated median depth over non-missing values, count of non-missing
-    task ids; NULL models dropped; sorted by model; half-even rounding
-    3, 3, 3, 2. One shuffle; avg/count aggregate partially, the exact median
+    task ids; NULL models dropped; sorted by model; rounding to
+    3, 3, 3, 2 digits by multiplying, rounding half to even and dividing. One shuffle; avg/count aggregate partially, the exact median
     keeps a value->count map per group (bounded by distinct depths)."""
     s = (outcomes.where(F.col("model").isNotNull())
          .groupBy("model")
@@ -77,8 +93,6 @@ def summarise(outcomes: DataFrame) -> DataFrame:
               F.count("task_id").alias("count")))
     return s.select(
         "model",
-        F.bround("compile_rate", 3).alias("compile_rate"),
-        F.bround("sim_rate", 3).alias("sim_rate"),
-        F.bround("mean_fidelity", 3).alias("mean_fidelity"),
-        F.bround(F.col("median_depth").cast("double"), 2).alias("median_depth"),
+        *[(F.rint(F.col(c).cast("double") * 10.0 ** n) / 10.0 ** n).alias(c)
+          for c, n in (("compile_rate", 3), ("sim_rate", 3), ("mean_fidelity", 3), ("median_depth", 2))],
         "count").orderBy("model")

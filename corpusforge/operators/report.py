@@ -50,7 +50,8 @@ def box_stats(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFrame:
     aggregation keeps a value->count map per group), then one pass with the
     group's quartiles broadcast (size-checked) for whiskers and outliers. A
     value is beyond a whisker exactly when it is beyond the fence."""
-    vals = df.where(F.col(col).isNotNull()).select(by, F.col(col).cast("double").alias("_x"))
+    vals = (df.select(by, F.col(col).cast("double").alias("_x"))
+            .where(F.col("_x").isNotNull() & ~F.isnan("_x")))      # NaN is a missing value
     q = (vals.groupBy(by)
          .agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
          .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
@@ -76,6 +77,6 @@ def box_outliers(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFra
     """V3 fliers as rows ``(group, value)``."""
     st = box_stats(df, col, by, whis).select(by, "whisker_lo", "whisker_hi")
     x = F.col(col).cast("double")
-    return (join_group_stats(df.where(F.col(col).isNotNull()), st, by)
+    return (join_group_stats(df.where(x.isNotNull() & ~F.isnan(x)), st, by)
             .where((x < F.col("whisker_lo")) | (x > F.col("whisker_hi")))
             .select(by, x.alias(col)))

@@ -185,10 +185,10 @@ FROM ({_RECORDS}) r LEFT JOIN ({_MEAS}) m USING (model, task_id)
 
 _SUMMARY = f"""
 SELECT model,
-       round_even(avg(compile_success), 3) AS compile_rate,
-       round_even(avg(sim_success), 3) AS sim_rate,
-       round_even(avg(fidelity), 3) AS mean_fidelity,
-       round_even(quantile_cont(depth, 0.5)::DOUBLE, 2) AS median_depth,
+       round_even(avg(compile_success) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS compile_rate,
+       round_even(avg(sim_success) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS sim_rate,
+       round_even(avg(fidelity) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS mean_fidelity,
+       round_even(quantile_cont(depth, 0.5)::DOUBLE * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS median_depth,
        count(task_id) AS count
 FROM ({_OUTCOMES}) WHERE model IS NOT NULL GROUP BY model
 """

@@ -258,12 +258,12 @@ def q_rates_long(spark, sf):
 
 
 def q_fidelity_hist(spark, sf):
-    o = cut_lineage(_outcomes(spark, sf))
+    o = cut_lineage(_outcomes(spark, sf).select("model", "fidelity"))
     return report.histogram(o, "fidelity", "model", 20)
 
 
 def q_depth_box(spark, sf):
-    o = cut_lineage(_outcomes(spark, sf))   # two passes over it
+    o = cut_lineage(_outcomes(spark, sf).select("model", "depth"))   # two passes over it
     return report.box_stats(o, "depth", "model")
 
 

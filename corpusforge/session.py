@@ -34,13 +34,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder. The cluster's setting wins; a
-    private folder is made only when nothing is configured (tests)."""
+    private folder is made only in local mode with nothing configured (tests);
+    a cluster without the setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corpusforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -74,19 +77,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if thin else df
 
 
-# Largest per-group stats table broadcast to every task; beyond it the join is
-# left to the planner (sort-merge with AQE skew splitting).
-BROADCAST_MAX_ROWS = 1_000_000
+# Largest per-group stats table (rows times the bytes of a row, 16 a column)
+# broadcast to every task; beyond it the join is left to the planner
+# (sort-merge with AQE skew splitting).
+BROADCAST_MAX_BYTES = 48 << 20
 
 
 def join_group_stats(rows: DataFrame, stats: DataFrame, on, how: str = "inner",
-                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                     max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Attach a per-group stats table (one row per group) to row-level data.
     A few hot groups would put whole groups into single tasks under a
-    hash-partitioned join, so the stats side is broadcast when its row count
-    is checked to be small; otherwise the planner picks (AQE splits skew)."""
+    hash-partitioned join, so the stats side is broadcast when its size is
+    checked to be small; otherwise the planner picks (AQE splits skew)."""
     stats = stats.persist()
-    if stats.count() <= max_rows:
+    if stats.count() * 16 * len(stats.columns) <= max_bytes:
         from pyspark.sql import functions as F
         return rows.join(F.broadcast(stats), on, how)
     return rows.join(stats, on, how)

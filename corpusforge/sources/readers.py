@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusforge.functions.text import normalize_newlines
 from corpusforge.sources import schemas
-from corpusforge.sources.writers import CSV_OPTIONS
+from corpusforge.sources.writers import CSV_OPTIONS, unmark_nulls
 
 # Fixed values.
 RAW_BASE = "https://raw.githubusercontent.com"
@@ -28,11 +28,11 @@ def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SEARCH_PAGES).json(path)
 
 
-def listing(pages: DataFrame, max_files: int | None = 100, per_page: int = 100) -> DataFrame:
+def listing(pages: DataFrame, max_files: int | None = None, per_page: int = 100) -> DataFrame:
     """Items of the pages in page order, stopping at the first missing,
     failed (status other than 200) or empty page and after the first page
-    shorter than ``per_page``; the first ``max_files`` items (the cap is the
-    operator's parameter, a top-k by (page, position); ``None``: all)."""
+    shorter than ``per_page``; all items, or the first ``max_files`` if given
+    (a top-k by (page, position))."""
     p = pages.select("page", F.coalesce("status", F.lit(200)).alias("status"), "items")
     ok = (F.col("status") == 200) & (F.coalesce(F.size("items"), F.lit(0)) > 0)
     nxt = p.select((F.col("page") + 1).alias("page"))
@@ -106,31 +106,37 @@ def read_source_files(spark: SparkSession, root: str, glob: str = "*.py",
 def read_tasks_json(spark: SparkSession, path: str, variant: bool = False,
                     multiline: bool = False) -> DataFrame:
     """JSON Lines (our writer) or, with ``multiline``, one pretty-printed
-    JSON array (the reference format; one task per file)."""
+    JSON array (the reference format; one task per file). Text of another
+    form, such as an array read without ``multiline``, is an error."""
     schema = schemas.TASKS_VARIANT if variant else schemas.TASKS
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
 
 
 def read_preferences_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header and multi-line quoted fields; exact round trip
     with :func:`corpusforge.sources.writers.write_preferences_csv`."""
-    return (spark.read.schema(schemas.PREFERENCES).options(**CSV_OPTIONS)
-            .option("multiLine", True).option("emptyValue", "").csv(path))
+    return unmark_nulls(spark.read.schema(schemas.PREFERENCES).options(**CSV_OPTIONS)
+                        .option("multiLine", True).option("emptyValue", "").csv(path))
 
 
 def read_completions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Completion records. JSON Lines (splittable) by default; with
     ``multiline`` one JSON array per file (the reference format, one task
-    per file). Entries that are not objects land in ``_corrupt_record`` one
-    by one (E2 quarantines them, the rest goes on)."""
+    per file). Entries that are not JSON objects land in ``_corrupt_record``
+    one by one, and the whole text of a file that is no array does (E2
+    quarantines them, the rest goes on)."""
     if not multiline:
         schema = StructType(schemas.COMPLETIONS.fields + [StructField("_corrupt_record", StringType())])
         return (spark.read.schema(schema).option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     raw = spark.read.text(path, wholetext=True)
-    elems = raw.select(F.explode(F.from_json("value", ArrayType(StringType()))).alias("_raw"))
+    elems = raw.select(F.explode(F.coalesce(F.from_json("value", ArrayType(StringType())),
+                                            F.array("value"))).alias("_raw"))
+    record = StructType(schemas.COMPLETIONS.fields + [StructField("_corrupt_record", StringType())])
     is_obj = F.ltrim(F.col("_raw")).startswith("{")
-    parsed = elems.select("_raw", F.when(is_obj, F.from_json("_raw", schemas.COMPLETIONS)).alias("_r"))
+    parsed = elems.select("_raw", F.when(is_obj, F.from_json(
+        "_raw", record, {"columnNameOfCorruptRecord": "_corrupt_record"})).alias("_r"))
+    is_obj = is_obj & F.col("_r._corrupt_record").isNull()
     return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in schemas.COMPLETIONS.fields],
                          F.when(~is_obj | F.col("_r").isNull(), F.col("_raw")).alias("_corrupt_record"))
 
@@ -152,4 +158,5 @@ def read_outcomes_csv(spark: SparkSession, path: str) -> DataFrame | None:
     (that output is then skipped, as in the reference)."""
     if not path_exists(spark, path):
         return None
-    return spark.read.schema(schemas.OUTCOMES).option("header", True).csv(path)
+    return unmark_nulls(spark.read.schema(schemas.OUTCOMES).options(**CSV_OPTIONS)
+                        .option("multiLine", True).option("emptyValue", "").csv(path))

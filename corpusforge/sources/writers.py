@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Spark's CSV writer trims values unless told not to, which would destroy code
 # indentation; NULL gets a marker distinct from the empty string.
@@ -16,6 +17,19 @@ CSV_OPTIONS = {
 }
 
 
+def _strings(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
+def mark_nulls(df: DataFrame) -> DataFrame:
+    """Double the marker at the start of texts, so that none reads as NULL."""
+    return _strings(df, lambda c: F.when(c.startswith("\u0001"), F.concat(F.lit("\u0001"), c)).otherwise(c))
+
+
+def unmark_nulls(df: DataFrame) -> DataFrame:
+    return _strings(df, lambda c: F.when(c.startswith("\u0001\u0001"), F.substring(c, 2, 1 << 30)).otherwise(c))
+
+
 def write_tasks_json(tasks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines, one file per partition (splittable, parallel)."""
     tasks.write.mode(mode).json(path)
@@ -24,7 +38,7 @@ def write_tasks_json(tasks: DataFrame, path: str, mode: str = "overwrite") -> No
 def write_preferences_csv(prefs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, every field quoted, ``""`` escaping, whitespace
     kept, multi-line values as is."""
-    prefs.write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
+    mark_nulls(prefs).write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
 
 
 def write_summary_csv(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -34,4 +48,4 @@ def write_summary_csv(summary: DataFrame, path: str, mode: str = "overwrite") ->
 
 def write_outcomes_csv(outcomes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Per-completion detail table (read by the plots, S11)."""
-    outcomes.write.mode(mode).option("header", True).csv(path)
+    mark_nulls(outcomes).write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", True).csv(path)

@@ -97,3 +97,35 @@ def test_box_outliers_rows(spark):
         q1, med, q3, wlo, whi, nout = _box_numpy(vs)
         want += [(k, float(v)) for v in vs if v < wlo or v > whi]
     assert got == sorted(want)
+
+
+def test_completion_ids_and_repeated_keys(spark):
+    import pytest
+
+    from corpusforge.operators.evaluate import outcome_rows
+    c = spark.createDataFrame([("m", "t", i, "code", "ref") for i in (1, 2)],
+                              "model string, task_id string, completion_id int, generated string, reference string")
+    m = spark.createDataFrame([("m", "t", i, True, True, True, 0.5, i) for i in (1, 2)],
+                              "model string, task_id string, completion_id int, has_circuit boolean, sv_ok boolean, "
+                              "ref_ok boolean, fidelity double, depth int")
+    from corpusforge.sources import schemas
+    cols = [f.name for f in schemas.COMPLETIONS.fields]
+    for name in cols:
+        if name not in c.columns:
+            from pyspark.sql import functions as F
+            c = c.withColumn(name, F.lit("x"))
+    got = outcome_rows(c, m).collect()
+    assert sorted((r.completion_id, r.depth) for r in got) == [(1, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        outcome_rows(c.drop("completion_id"), m.drop("completion_id"))
+
+
+def test_rounding_and_nan(spark):
+    from corpusforge.operators.evaluate import summarise
+    from corpusforge.operators.report import box_stats
+    o = spark.createDataFrame([("m", "t", 1, 1, 0.5015, 1)],
+                              "model string, task_id string, compile_success int, sim_success int, fidelity double, depth int")
+    assert summarise(o).first().mean_fidelity == 0.501
+    b = box_stats(spark.createDataFrame([("m", float(x)) for x in (1, 2, 3)] + [("m", float("nan"))],
+                                        "model string, v double"), "v", "model").first()
+    assert (b.q1, b.q3, b.n_outliers) == (1.5, 2.5, 0)

@@ -21,3 +21,16 @@ def test_strip_and_split_match_python(spark):
 def test_newline_normalisation(spark):
     df = spark.createDataFrame([("a\r\nb\rc\n",)], "s string")
     assert df.select(normalize_newlines("s")).first()[0] == "a\nb\nc\n"
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusforge.functions.text import py_strip
+    text = "a" + " " * 1_000_000 + "b "
+    df = spark.createDataFrame([(text,)], "t string")
+    t0 = time.time()
+    assert df.select(F.length(py_strip("t"))).first()[0] == len(text) - 1
+    assert time.time() - t0 < 20
