@@ -46,11 +46,12 @@ class Splitter:
         self.regex = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.kind = None
         if pattern == PATTERN:
-            every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+            every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
             self.kind = np.full(0x110000, 2, np.uint8)
             for k, prop in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\p{White_Space}+")):
                 for m in regex.finditer(prop, every):
-                    self.kind[[ord(c) for c in m.group()]] = k
+                    self.kind[ord(every[m.start()]):ord(every[m.end() - 1]) + 1] = k
+            self.kind[0xD800:0xE000] = 2
         rng = np.random.default_rng(11)
         self.mul = [int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2, dtype=np.int64)]
         n = SCAN + 1
@@ -142,8 +143,6 @@ class Vocabulary:
 
     def __init__(self, data: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
-        of = {r: b for b, r in self.rank.items()}
-        self.table = pa.array([of.get(i) for i in range(max(of, default=-1) + 1)], pa.binary())
         self.split = Splitter(pattern)
         self.byte = np.array([self.rank[bytes((i,))] for i in range(256)], np.int64)
         # every pair of tokens that makes a token, sorted
@@ -264,6 +263,12 @@ class Vocabulary:
 _LOADED: dict[tuple[int, str], Vocabulary] = {}
 
 
+def byte_table(data: bytes) -> pa.Array:
+    """The bytes of every id, null where the rank file has none."""
+    of = {int(b): base64.b64decode(a) for a, b in (x.split() for x in data.splitlines() if x)}
+    return pa.array([of.get(i) for i in range(max(of, default=-1) + 1)], pa.binary())
+
+
 def _vocabulary(ranks, pattern: str) -> Vocabulary:
     key = (hash(ranks.value), pattern)
     if key not in _LOADED:
@@ -309,11 +314,11 @@ def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFra
     src = df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
-        vocab = _vocabulary(ranks, "")
+        table = byte_table(ranks.value)
         for batch in batches:
             ids = batch.column(1)
             flat = ids.flatten()
-            got = vocab.table.take(flat)
+            got = table.take(flat)
             if got.null_count:
                 raise ValueError("an id is not in the rank file")
             ends = np.r_[0, np.cumsum(pc.binary_length(got).to_numpy(zero_copy_only=False), dtype=np.int64)]
