@@ -55,7 +55,7 @@ def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_filter", quality_filter), ("near_duplicates", near_duplicates),
           ("repeated_passages", repeated_passages), ("mix_sources", mix_sources), ("tokenize", tokenize)]
 
-#: The learned and hashed stages have no SQL form; the tests compare run() with brute force.
+#: The learned and hashed stages have no SQL form; tests/llm compares their operators with brute force.
 ORACLE_SQL = None
 
 
