@@ -126,7 +126,20 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(has, F.col("user_id") % 200).cast("int").alias("gates"))
 
 
-def completion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Completions per task and model in the variants with generations.
+GENERATIONS = 2
+
+
+def generations(df: DataFrame) -> DataFrame:
+    """The same rows as ``GENERATIONS`` completions of each task: task ``n`` is
+    generation ``n % 2`` of task ``n // 2``."""
+    n = F.split("task_id", "/")[1].cast("long")
+    return df.withColumns({
+        "completion_id": n % GENERATIONS,
+        "task_id": F.concat(F.lit(TASK_PREFIX + "/"), F.floor(n / GENERATIONS).cast("string"))})
+
+
+def completion_records(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
     """Evaluation-side completion records per event (one per (model,
     task)); every 13th is a malformed entry (not an object)."""
     e = table(spark, sf_dir, "events")
@@ -143,5 +156,47 @@ def completion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 9 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("sol_"), ids)).alias("canonical_solution"))
     line = F.when(eid % 13 == 0, F.lit('"broken entry"')).otherwise(F.to_json(rec, {"ignoreNullFields": "true"}))
-    return e.select(F.when(eid % 2 == 0, F.lit("GRPO")).otherwise(F.lit("ORPO")).alias("model"),
+    return e.select(*keep, F.when(eid % 2 == 0, F.lit("GRPO")).otherwise(F.lit("ORPO")).alias("model"),
                     line.alias("value"))
+
+
+#: Events per array file; the last bracket of every fifth file is missing.
+FILE_EVENTS = 1000
+
+
+def completion_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as one JSON array per file: ``(model, file, value)``."""
+    lines = completion_records(spark, sf_dir, keep=("event_id",))
+    items = F.sort_array(F.collect_list(F.struct("event_id", "value")))
+    files = (lines.withColumn("file", F.floor(F.col("event_id") / FILE_EVENTS))
+             .groupBy("model", "file").agg(items.alias("items")))
+    body = F.concat(F.lit("[" + NL), F.array_join(F.col("items.value"), "," + NL))
+    return files.select("model", "file", F.when(F.col("file") % 5 == 4, body)
+                        .otherwise(F.concat(body, F.lit(NL + "]"))).alias("value"))
+
+
+# ---- source files with copies, from `part` ----------------------------------------
+# Part k holds one function of group k // 4. Members 0 and 1 are exact copies,
+# member 2 has one word more (the others, 21 or more, are the first one's) and
+# member 3 is written with names of its own. The body is a docstring, assignments
+# or calls by group. Every fifth file lacks the keyword, every fifth spells it in
+# capitals, every eleventh was not fetched.
+
+def copied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    g = F.floor(k / 4).cast("string")
+    own = F.when(k % 4 == 3, F.concat(F.lit("u"), k.cast("string"))).otherwise(F.concat(F.lit("g"), g))
+    names = [F.concat(F.lit(f"s{i}_"), own) for i in range(17)]
+    kind = F.floor(k / 4) % 3
+    body = (F.when(kind == 0, F.concat(F.lit('    """'), F.concat_ws(" ", *names), F.lit('"""' + NL)))
+            .when(kind == 1, F.concat(*[F.concat(F.lit("    "), n, F.lit(" = 1" + NL)) for n in names]))
+            .otherwise(F.concat(*[F.concat(F.lit("    "), n, F.lit("()" + NL)) for n in names])))
+    code = F.concat(F.lit("def make_"), own, F.lit("():" + NL), body, F.lit("    return 1"),
+                    F.when(k % 4 == 2, F.concat(F.lit(NL + "    more_"), own, F.lit("()"))).otherwise(F.lit("")))
+    head = F.when(k % 5 == 0, F.lit("import math")).when(k % 5 == 1, F.lit("import QISKIT")).otherwise(
+        F.lit("import qiskit"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("org/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),
+        F.concat(F.lit("part_"), k.cast("string"), F.lit(".py")).alias("path"),
+        F.when(k % 11 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.concat(head, F.lit(NL + NL + NL), code, F.lit(NL)).alias("content"))

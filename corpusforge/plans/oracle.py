@@ -183,6 +183,44 @@ SELECT r.model, r.task_id,
 FROM ({_RECORDS}) r LEFT JOIN ({_MEAS}) m USING (model, task_id)
 """
 
+#: task n is generation n % 2 of task n // 2
+_TASK_NO = "split_part(task_id, '/', 2)::BIGINT"
+
+_ARRAY_LINES = f"""
+SELECT event_id, event_id // 1000 AS file, (event_id // 1000) % 5 = 4 AS cut,
+       CASE WHEN event_id % 2 = 0 THEN 'GRPO' ELSE 'ORPO' END AS model,
+       CASE WHEN event_id % 13 = 0 THEN '"broken entry"' ELSE
+         '{{"task_id":"' || {PFX} || (event_id // 2) || '"'
+         || CASE WHEN event_id % 3 <> 0 THEN ',"generated_code":"qc = build_' || event_id || '()"' ELSE '' END
+         || CASE WHEN event_id % 5 <> 0 THEN ',"completion":"completion_' || event_id || '"' ELSE '' END
+         || CASE event_id % 4 WHEN 0 THEN ',"reference":""' WHEN 1 THEN ''
+                 ELSE ',"reference":"ref_' || event_id || '"' END
+         || CASE WHEN event_id % 9 <> 0 THEN ',"canonical_solution":"sol_' || event_id || '"' ELSE '' END
+         || '}}' END AS line
+FROM events
+"""
+
+_COPIES = f"""
+SELECT *, 'def make_' || own || '():' || {NL}
+       || CASE kind
+            WHEN 0 THEN '    \"\"\"' || list_aggregate(list_transform(range(17), lambda i: 's' || i || '_' || own),
+                                                  'string_agg', ' ') || '\"\"\"' || {NL}
+            ELSE list_aggregate(list_transform(range(17), lambda i: '    s' || i || '_' || own
+                   || CASE kind WHEN 1 THEN ' = 1' ELSE '()' END || {NL}), 'string_agg', '') END
+       || '    return 1' || CASE WHEN k % 4 = 2 THEN {NL} || '    more_' || own || '()' ELSE '' END AS code
+FROM (SELECT p_partkey AS k, 'org/' || lower(replace(p_brand, '#', '')) AS repo,
+             'part_' || p_partkey || '.py' AS path, p_partkey // 4 % 3 AS kind,
+             CASE WHEN p_partkey % 4 = 3 THEN 'u' || p_partkey ELSE 'g' || (p_partkey // 4) END AS own
+      FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 11 <> 0)
+"""
+
+_COPY_TASKS = f"""
+SELECT row_number() OVER (ORDER BY repo, path) - 1 AS doc_id, code AS text,
+       'make_' || own AS entry_point,
+       CASE kind WHEN 0 THEN 'basic' WHEN 1 THEN 'advanced' ELSE 'intermediate' END AS difficulty_scale
+FROM ({_COPIES})
+"""
+
 _SUMMARY = f"""
 SELECT model,
        round_even(avg(compile_success) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS compile_rate,
@@ -227,6 +265,30 @@ FROM w JOIN v USING (model) GROUP BY w.model, q1, median, q3, whisker_lo, whiske
 """
 
 
+def _reward_sql(generations: bool = False) -> str:
+    gen = f"REPLACE ({PFX} || ({_TASK_NO} // 2) AS task_id), {_TASK_NO} % 2 AS completion_id" if generations else ""
+    keys = "model, task_id, completion_id" if generations else "model, task_id"
+    return f"""
+WITH a AS (SELECT * {gen} FROM ({_ANSWERS})),
+t AS (SELECT {PFX} || doc_id AS task_id, {sql_strip("coalesce(text, '')")} AS reference FROM documents),
+j AS (SELECT a.*, t.reference, m.has, m.sv, m.counts_ok, m.ref_ok, m.fidelity, m.depth, m.gates,
+             {_import_reason('a.answer')} AS ir,
+             (a.struct_reason = 'ok' AND coalesce(m.has, false)) AS ran
+      FROM a LEFT JOIN t USING (task_id) LEFT JOIN (SELECT * {gen} FROM ({_MEAS})) m USING ({keys}))
+SELECT {keys},
+       0.5 * xml_ok::INT::DOUBLE + 0.5 * (struct_reason = 'ok')::INT::DOUBLE AS r_format,
+       {_import_score('ir')} AS r_import,
+       CASE WHEN ran THEN coalesce(sv, false)::INT::DOUBLE + 0.5 * coalesce(counts_ok, false)::INT::DOUBLE
+            ELSE 0.0 END AS r_run,
+       round_even(coalesce(CASE WHEN ran AND coalesce(sv, false) AND coalesce(ref_ok, false)
+                                     AND coalesce(reference <> '', false)
+                                THEN 2.0 * sqrt(fidelity) END, 0.0), 9) AS r_fidelity,
+       round_even(CASE WHEN ran THEN 1.0 / (1.0 + ln(1 + CASE WHEN coalesce(depth, 0) = 0 THEN 1 ELSE depth END)
+                       + 0.5 * ln(1 + CASE WHEN coalesce(gates, 0) = 0 THEN 1 ELSE gates END)) ELSE 0.0 END, 9) AS r_size
+FROM j
+"""
+
+
 ORACLE = {
     "dedup_exact": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {sql_strip('text')}",
     "dedup_near": _near_sql("SELECT doc_id, text, lang, source, n_chars FROM documents",
@@ -244,6 +306,23 @@ lim AS (SELECT least(coalesce((SELECT min(page + 1) FROM pg WHERE page + 1 NOT I
 SELECT page, pos, path, repo, branch,
        concat_ws('/', 'https://raw.githubusercontent.com', repo, branch, path) AS url
 FROM it WHERE page <= (SELECT last FROM lim) AND EXISTS (SELECT 1 FROM pg WHERE page = 1)
+""",
+    "listing_stops": """
+WITH it AS (SELECT doc_id // 100 + 1 AS page, 'doc_' || doc_id || '.py' AS path,
+                   row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos FROM documents),
+runs AS (SELECT unnest(['failed', 'missing', 'short', 'no_first', 'capped']) AS run),
+a AS (SELECT run, page, pos, path FROM runs, it
+      WHERE NOT (run = 'failed' AND page % 7 = 2) AND NOT (run = 'missing' AND page % 8 = 3)
+        AND NOT (run = 'no_first' AND page = 1) AND NOT (run = 'short' AND page % 6 = 2 AND pos >= 60)),
+pg AS (SELECT run, page, count(*) AS c FROM a GROUP BY ALL),
+gap AS (SELECT run, min(page) + 1 AS first_missing FROM pg p
+        WHERE NOT EXISTS (SELECT 1 FROM pg x WHERE x.run = p.run AND x.page = p.page + 1) GROUP BY run),
+short AS (SELECT run, min(page) AS first_short FROM pg WHERE c < 100 GROUP BY run),
+got AS (SELECT a.* FROM a JOIN gap USING (run) LEFT JOIN short USING (run)
+        WHERE page < first_missing AND page <= coalesce(first_short, page)
+          AND EXISTS (SELECT 1 FROM pg WHERE pg.run = a.run AND pg.page = 1))
+SELECT run, page::INT AS page, pos::INT AS pos, path FROM got
+QUALIFY run <> 'capped' OR row_number() OVER (PARTITION BY run ORDER BY page, pos) <= 150
 """,
     "flat_names": """
 SELECT page_id, repo, path,
@@ -265,6 +344,18 @@ FROM documents WHERE doc_id % 7 <> 3 AND text IS NOT NULL
     "task_rows": _tasks_sql(False),
     "task_rows_variant": _tasks_sql(True),
     "curated_tasks": f"SELECT task_id, entry_point, difficulty_scale FROM ({_tasks_sql(False)})",
+    "curated_copies": _near_sql(
+        f"SELECT doc_id, text, {PFX} || doc_id AS task_id, entry_point, difficulty_scale FROM ({_COPY_TASKS})",
+        "task_id, entry_point, difficulty_scale"),
+    "difficulty_kept": _near_sql(f"SELECT doc_id, text, difficulty_scale FROM ({_COPY_TASKS})",
+                                 "difficulty_scale, count(*) AS count") + "GROUP BY difficulty_scale",
+    "quarantine_files": """
+SELECT 'org/' || lower(replace(p_brand, '#', '')) AS repo,
+       'src/' || lower(p_type) || '/part_' || p_partkey || '.py' AS path
+FROM part WHERE p_partkey % 17 = 0""",
+    "read_tasks_array": f"""
+SELECT {PFX} || doc_id AS task_id, prompt, canonical_solution, 'doc_' || doc_id AS entry_point,
+       'basic' AS difficulty_scale FROM ({_DOC_TASKS})""",
     "preference_rows": f"SELECT prompt, canonical_solution AS chosen, {_REJECTED} AS rejected FROM ({_DOC_TASKS})",
     "instruction_rows": f"""
 SELECT 'Below is an instruction that describes a task. Write a response that completes it.' || {NL} || {NL}
@@ -297,24 +388,22 @@ SELECT model, task_id,
        round_even(CASE WHEN has THEN 1.0 / (1.0 + ln(1 + CASE WHEN depth = 0 THEN 1 ELSE depth END)
                        + 0.5 * ln(1 + CASE WHEN gates = 0 THEN 1 ELSE gates END)) ELSE 0.0 END, 9) AS r_size
 FROM ({_MEAS})""",
-    "reward_table": f"""
-WITH a AS ({_ANSWERS}),
-t AS (SELECT {PFX} || doc_id AS task_id, {sql_strip("coalesce(text, '')")} AS reference FROM documents),
-j AS (SELECT a.*, t.reference, m.has, m.sv, m.counts_ok, m.ref_ok, m.fidelity, m.depth, m.gates,
-             {_import_reason('a.answer')} AS ir,
-             (a.struct_reason = 'ok' AND coalesce(m.has, false)) AS ran
-      FROM a LEFT JOIN t USING (task_id) LEFT JOIN ({_MEAS}) m USING (model, task_id))
-SELECT model, task_id,
-       0.5 * xml_ok::INT::DOUBLE + 0.5 * (struct_reason = 'ok')::INT::DOUBLE AS r_format,
-       {_import_score('ir')} AS r_import,
-       CASE WHEN ran THEN coalesce(sv, false)::INT::DOUBLE + 0.5 * coalesce(counts_ok, false)::INT::DOUBLE
-            ELSE 0.0 END AS r_run,
-       round_even(coalesce(CASE WHEN ran AND coalesce(sv, false) AND coalesce(ref_ok, false)
-                                     AND coalesce(reference <> '', false)
-                                THEN 2.0 * sqrt(fidelity) END, 0.0), 9) AS r_fidelity,
-       round_even(CASE WHEN ran THEN 1.0 / (1.0 + ln(1 + CASE WHEN coalesce(depth, 0) = 0 THEN 1 ELSE depth END)
-                       + 0.5 * ln(1 + CASE WHEN coalesce(gates, 0) = 0 THEN 1 ELSE gates END)) ELSE 0.0 END, 9) AS r_size
-FROM j""",
+    "reward_table": _reward_sql(),
+    "reward_generations": _reward_sql(generations=True),
+    "read_completions_array": f"""
+SELECT model, task_id, code, ref FROM ({_RECORDS.replace("SELECT CASE", "SELECT event_id, CASE", 1)})
+WHERE (event_id // 1000) % 5 <> 4""",
+    "quarantine_completions": f"""
+SELECT model, 'broken entry' AS raw FROM ({_ARRAY_LINES}) WHERE NOT cut AND event_id % 13 = 0
+UNION ALL
+SELECT model, '[' || {NL} || string_agg(line, ',' || {NL} ORDER BY event_id) || {NL} AS raw
+FROM ({_ARRAY_LINES}) WHERE cut GROUP BY model, file""",
+    "outcomes_generations": f"SELECT * REPLACE ({PFX} || ({_TASK_NO} // 2) AS task_id), "
+                            f"{_TASK_NO} % 2 AS completion_id FROM ({_OUTCOMES})",
+    "outcomes_detail": f"""
+SELECT * REPLACE (CASE {_TASK_NO} % 5 WHEN 0 THEN ' ' || task_id || ' ' WHEN 1 THEN 'a"b,' || task_id
+                       WHEN 2 THEN task_id || chr(13) || {NL} || 'x' WHEN 3 THEN '' ELSE task_id END AS task_id)
+FROM ({_OUTCOMES})""",
     "read_completions": f"SELECT model, task_id, code, ref FROM ({_RECORDS})",
     "outcomes": _OUTCOMES,
     "model_summary": _SUMMARY,

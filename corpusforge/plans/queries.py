@@ -11,15 +11,17 @@ from corpusforge.functions.rewards import prepare
 from corpusforge.operators import evaluate as ev
 from corpusforge.operators import report
 from corpusforge.operators.dedup import exact_dedup, near_dedup
-from corpusforge.operators.extract import extract_function_rows, valid_functions
+from corpusforge.operators.extract import (extract_function_rows, quarantined_files,
+                                           valid_functions)
 from corpusforge.operators.formats import chat_rows, instruction_rows
-from corpusforge.operators.tasks import (difficulty, difficulty_counts, keyword_filter,
+from corpusforge.operators.tasks import (REJECTED, difficulty, difficulty_counts, keyword_filter,
                                          number_functions, preference_rows, task_rows)
 from corpusforge.plans import derived as dv
 from corpusforge.plans.curate import curate
 from corpusforge.plans.score import score
 from corpusforge.session import cut_lineage, scratch_path
 from corpusforge.sources import readers as rd
+from corpusforge.sources import schemas
 from corpusforge.sources import writers as wr
 
 EOS = "</s>"
@@ -77,6 +79,20 @@ def q_listing(spark, sf):
                         rd.raw_url("repo", "branch", "path").alias("url"))
 
 
+def q_listing_stops(spark, sf):
+    """The stop rules: a failed, a missing and a short page, no first page, a cap."""
+    pages = _document_pages(spark, sf)
+    page = F.col("page")
+    runs = {
+        "failed": pages.withColumn("status", F.when(page % 7 == 2, 500).otherwise(200)),
+        "missing": pages.where(page % 8 != 3),
+        "short": pages.withColumn("items", F.when(page % 6 == 2, F.slice("items", 1, 60)).otherwise(F.col("items"))),
+        "no_first": pages.where(page != 1)}
+    out = [rd.listing(p).withColumn("run", F.lit(r)) for r, p in runs.items()]
+    out.append(rd.listing(pages, max_files=150).withColumn("run", F.lit("capped")))
+    return ev.stack(*out).select("run", "page", "pos", "path")
+
+
 def q_flat_names(spark, sf):
     p = dv.table(spark, sf, "pages")
     repo = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
@@ -139,6 +155,25 @@ def q_curated_tasks(spark, sf):
     return cur.tasks.select("task_id", "entry_point", "difficulty_scale")
 
 
+def _curated_copies(spark, sf):
+    return curate(dv.copied_files(spark, sf))
+
+
+def q_curated_copies(spark, sf):
+    """P1 to D2 over files with exact and near copies."""
+    return _curated_copies(spark, sf).tasks.select("task_id", "entry_point", "difficulty_scale")
+
+
+def q_difficulty_kept(spark, sf):
+    """E6 over what the deduplication keeps."""
+    return _curated_copies(spark, sf).difficulty
+
+
+def q_quarantine_files(spark, sf):
+    fns = extract_function_rows(dv.part_files(spark, sf))
+    return quarantined_files(fns).select("repo", "path")
+
+
 def q_preference_rows(spark, sf):
     return preference_rows(dv.document_tasks(spark, sf))
 
@@ -166,6 +201,17 @@ def q_roundtrip_json(spark, sf):
     return spark.read.schema(d.schema).json(path)
 
 
+def q_read_tasks_array(spark, sf):
+    """Pretty-printed arrays of a hundred tasks, one per file."""
+    d = dv.document_tasks(spark, sf)
+    cols = schemas.TASKS.names
+    path = scratch_path(spark, "tasks-array")
+    arrays = (d.groupBy(F.floor(F.col("doc_id") / 100).alias("part"))
+              .agg(F.to_json(F.collect_list(F.struct(*cols)), {"pretty": "true"}).alias("value")))
+    arrays.write.partitionBy("part").text(path)
+    return rd.read_tasks_json(spark, path, multiline=True).select(*cols)
+
+
 def q_roundtrip_csv(spark, sf):
     d = dv.table(spark, sf, "documents")
     k = F.col("doc_id") % 5
@@ -173,7 +219,7 @@ def q_roundtrip_csv(spark, sf):
               .when(k == 2, F.concat(F.lit('say "hi"\\'), "text", F.lit("\r\n\tend")))
               .otherwise(F.col("text")))
     prefs = d.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("prompt"),
-                     chosen.alias("chosen"), F.lit("# Incomplete or incorrect version\npass").alias("rejected"))
+                     chosen.alias("chosen"), F.lit(REJECTED).alias("rejected"))
     path = scratch_path(spark, "roundtrip-csv")
     wr.write_preferences_csv(prefs, path)
     return rd.read_preferences_csv(spark, path)
@@ -198,6 +244,15 @@ def q_import_reward(spark, sf):
     return p.select("conv_id", "turn", "import_reason", r_import(p).alias("r_import"))
 
 
+def q_reward_generations(spark, sf):
+    """R7-R10 with two completions of each task."""
+    comp = dv.generations(dv.completion_texts(spark, sf))
+    meas = dv.generations(dv.measurements(spark, sf))
+    s = score(comp, dv.document_tasks(spark, sf), meas)
+    return s.select("model", "task_id", "completion_id", "r_format", "r_import", "r_run",
+                    F.bround("r_fidelity", 9).alias("r_fidelity"), F.bround("r_size", 9).alias("r_size"))
+
+
 def q_run_rewards(spark, sf):
     from corpusforge.functions.rewards import r_fidelity, r_run, r_size
     m = dv.measurements(spark, sf).withColumn("struct_reason", F.lit("ok"))
@@ -243,6 +298,47 @@ def _outcomes(spark, sf):
     return ev.outcome_rows(good, dv.measurements(spark, sf))
 
 
+def _read_arrays(spark, sf):
+    """S9 and E2 on array files, some of them cut short: good rows, bad rows."""
+    path = scratch_path(spark, "completion-arrays")
+    dv.completion_arrays(spark, sf).write.partitionBy("model", "file").text(path)
+    frames = [ev.tag_model(rd.read_completions(spark, f"{path}/model={m}", multiline=True), m)
+              for m in ("GRPO", "ORPO")]
+    return ev.split_bad_rows(ev.stack(*frames), F.col("_corrupt_record").isNotNull())
+
+
+def q_read_completions_array(spark, sf):
+    good, _ = _read_arrays(spark, sf)
+    return good.select("model", "task_id", ev.completion_text().alias("code"), ev.reference_text().alias("ref"))
+
+
+def q_quarantine_completions(spark, sf):
+    _, bad = _read_arrays(spark, sf)
+    return bad.select("model", F.trim(F.col("_corrupt_record")).alias("raw"))
+
+
+def q_outcomes_generations(spark, sf):
+    """E1 with two completions of each task, told apart by ``completion_id``."""
+    path = scratch_path(spark, "generations")
+    lines = dv.completion_records(spark, sf)
+    rec = F.from_json("value", schemas.COMPLETIONS)
+    made = (lines.select("model", "value", rec.alias("r")).where("r.task_id is not null")
+            .select("model", "r.*").drop("completion_id"))
+    dv.generations(made).write.partitionBy("model").json(path)
+    return ev.outcome_rows(_read_model_files(spark, path), dv.generations(dv.measurements(spark, sf)))
+
+
+def q_outcomes_detail(spark, sf):
+    """The detail table, written and read with awkward ids."""
+    t = F.col("task_id")
+    k = F.split(t, "/")[1].cast("long") % 5
+    odd = (F.when(k == 0, F.concat(F.lit(" "), t, F.lit(" "))).when(k == 1, F.concat(F.lit('a"b,'), t))
+           .when(k == 2, F.concat(t, F.lit("\r\nx"))).when(k == 3, F.lit("")).otherwise(t))
+    path = scratch_path(spark, "detail")
+    wr.write_outcomes_csv(_outcomes(spark, sf).withColumn("task_id", odd), path)
+    return rd.read_outcomes_csv(spark, path).drop("completion_id")
+
+
 def q_outcomes(spark, sf):
     return _outcomes(spark, sf)
 
@@ -272,6 +368,7 @@ QUERIES = {
     "dedup_near": q_dedup_near,
     "dedup_near_chain": q_dedup_near_chain,
     "listing": q_listing,
+    "listing_stops": q_listing_stops,
     "flat_names": q_flat_names,
     "scan_files": q_scan_files,
     "keyword_filter": q_keyword_filter,
@@ -281,18 +378,27 @@ QUERIES = {
     "task_rows": q_task_rows,
     "task_rows_variant": q_task_rows_variant,
     "curated_tasks": q_curated_tasks,
+    "curated_copies": q_curated_copies,
+    "difficulty_kept": q_difficulty_kept,
+    "quarantine_files": q_quarantine_files,
     "preference_rows": q_preference_rows,
     "instruction_rows": q_instruction_rows,
     "chat_rows": q_chat_rows,
     "roundtrip_json": q_roundtrip_json,
+    "read_tasks_array": q_read_tasks_array,
     "roundtrip_csv": q_roundtrip_csv,
     "answers": q_answers,
     "format_reward": q_format_reward,
     "import_reward": q_import_reward,
     "run_rewards": q_run_rewards,
     "reward_table": q_reward_table,
+    "reward_generations": q_reward_generations,
     "read_completions": q_read_completions,
+    "read_completions_array": q_read_completions_array,
+    "quarantine_completions": q_quarantine_completions,
     "outcomes": q_outcomes,
+    "outcomes_generations": q_outcomes_generations,
+    "outcomes_detail": q_outcomes_detail,
     "model_summary": q_model_summary,
     "rates_long": q_rates_long,
     "fidelity_hist": q_fidelity_hist,

@@ -39,7 +39,7 @@ CHAT = _s(("prompt", ArrayType(MESSAGE)), ("reference", StringType()))
 
 COMPLETIONS = _s(("task_id", StringType()), ("generated_code", StringType()),
                  ("completion", StringType()), ("reference", StringType()),
-                 ("canonical_solution", StringType()))
+                 ("canonical_solution", StringType()), ("completion_id", LongType()))
 
 MEASUREMENTS = _s(("model", StringType()), ("task_id", StringType()),
                   ("has_circuit", BooleanType()), ("sv_ok", BooleanType()),
@@ -49,7 +49,8 @@ MEASUREMENTS = _s(("model", StringType()), ("task_id", StringType()),
 
 OUTCOMES = _s(("model", StringType()), ("task_id", StringType()),
               ("compile_success", IntegerType()), ("sim_success", IntegerType()),
-              ("fidelity", DoubleType()), ("depth", IntegerType()))
+              ("fidelity", DoubleType()), ("depth", IntegerType()),
+              ("completion_id", LongType()))
 
 SUMMARY = _s(("model", StringType()), ("compile_rate", DoubleType()),
              ("sim_rate", DoubleType()), ("mean_fidelity", DoubleType()),

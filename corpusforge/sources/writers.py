@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.sources import schemas
+
 # Spark's CSV writer trims values unless told not to, which would destroy code
 # indentation; NULL gets a marker distinct from the empty string.
 CSV_OPTIONS = {
@@ -47,5 +49,8 @@ def write_summary_csv(summary: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def write_outcomes_csv(outcomes: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Per-completion detail table (read by the plots, S11)."""
-    mark_nulls(outcomes).write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
+    """Per-completion detail table (read by the plots, S11). Columns in the
+    order of the schema; ``completion_id`` is NULL where there is none."""
+    if "completion_id" not in outcomes.columns:
+        outcomes = outcomes.withColumn("completion_id", F.lit(None).cast("long"))
+    mark_nulls(outcomes.select(*schemas.OUTCOMES.names)).write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
