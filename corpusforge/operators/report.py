@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.session import join_group_stats
+from corpusforge.session import cut_lineage, join_group_stats
 
 
 def rates_long(summary: DataFrame, id_col: str = "model",
@@ -59,7 +59,7 @@ def box_stats(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     hi_fence = F.col("q3") + whis * iqr
     lo_fence = F.col("q1") - whis * iqr
-    w = (join_group_stats(vals, q, by)
+    w = (join_group_stats(vals, cut_lineage(q), by)
          .groupBy(by, "q1", "median", "q3")
          .agg(F.max(F.when(F.col("_x") <= hi_fence, F.col("_x"))).alias("_hi"),
               F.min(F.when(F.col("_x") >= lo_fence, F.col("_x"))).alias("_lo"),
@@ -77,6 +77,6 @@ def box_outliers(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFra
     """V3 fliers as rows ``(group, value)``."""
     st = box_stats(df, col, by, whis).select(by, "whisker_lo", "whisker_hi")
     x = F.col(col).cast("double")
-    return (join_group_stats(df.where(x.isNotNull() & ~F.isnan(x)), st, by)
+    return (join_group_stats(df.where(x.isNotNull() & ~F.isnan(x)), cut_lineage(st), by)
             .where((x < F.col("whisker_lo")) | (x > F.col("whisker_hi")))
             .select(by, x.alias(col)))

@@ -88,26 +88,30 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, on, how: str = "inner",
     """Attach a per-group stats table (one row per group) to row-level data.
     A few hot groups would put whole groups into single tasks under a
     hash-partitioned join, so the stats side is broadcast when its size is
-    checked to be small; otherwise the planner picks (AQE splits skew)."""
-    stats = stats.persist()
+    checked to be small; otherwise the planner picks (AQE splits skew).
+    ``stats`` is read twice: give a written or checkpointed one."""
     if stats.count() * 16 * len(stats.columns) <= max_bytes:
         from pyspark.sql import functions as F
         return rows.join(F.broadcast(stats), on, how)
     return rows.join(stats, on, how)
 
 
-def bucketed_table(df: DataFrame, col: str, buckets: int, name: str) -> DataFrame:
+def bucketed_table(df: DataFrame, col: str, buckets: int, name: str, made: list[str],
+                   parts: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``col`` under the shared checkpoint
     folder and read it back. Cuts lineage like a checkpoint, and unlike a
     checkpoint under AQE the planner keeps knowing the rows are hash
     partitioned by ``col``, so later per-key windows, aggregates and joins on
-    it need no shuffle. One file per bucket (repartitioned first)."""
+    it need no shuffle. One file per bucket (repartitioned first) and value of
+    ``parts``, whose columns divide the folders. ``made`` receives the table's
+    name, for the caller to drop; its files stay under the checkpoint folder."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
     table = "cf_" + name.replace("-", "_") + "_" + uuid.uuid4().hex[:12]
-    (df.repartition(buckets, col).write.option("path", path)
-       .bucketBy(buckets, col).mode("error").saveAsTable(table))
+    out = df.repartition(buckets, col).write.option("path", path).bucketBy(buckets, col)
+    (out.partitionBy(*parts) if parts else out).mode("error").saveAsTable(table)
+    made.append(table)
     return spark.table(table)
 
 
