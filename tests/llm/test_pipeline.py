@@ -1,8 +1,14 @@
 """The pipeline's stages on a small table with odd rows."""
 
+import base64
+import random
 from collections import Counter
 
+import brute
 import corpus_pipeline as cp
+import duckdb
+from corpusforge.llm import quality
+from corpusforge.llm.queries import MIX_SQL
 
 
 def test_stages(spark, tmp_path):
@@ -29,3 +35,60 @@ def test_stages(spark, tmp_path):
     assert set(mixed) <= set(near) and max(mixed.values()) <= 3
     again = Counter(r.doc_id for r in cp.run(spark, str(tmp_path)).collect())
     assert again == last
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """run() against one row at a time; only the learned scores are taken over."""
+    import public_tokenizers as P
+    import tiktoken
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghé", k=rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    shared = [prose(120) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        text = prose(rng.choice([0, 2, 30, 90]))
+        if i % 5 == 1:
+            text = prose(20) + " " + shared[i % 3] + " " + prose(20)
+        if i % 7 == 3 and rows:
+            text = rows[-2][1] + rng.choice(["", " tail"])
+        rows.append((i, text, "en", [None, "a", "b", "c"][i % 4], len(text)))
+    rows += [(200 + i, "#### |<>| " * (9 + i), "en", "a", 9) for i in range(20)]
+    rows += [(300, None, None, None, None), (301, "", "de", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] < 200), 0) for r in rows if r[0] < 300],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+
+    good = {r.doc_id for r in quality.quality(
+        docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1").collect()}
+    kept = sorted(r for r in rows if r[0] in good)
+    assert {r[0] for r in rows if r[0] < 200} <= good and not good & set(range(200, 220))
+    group = brute.groups([brute.fingerprint(r[1]) for r in kept])
+    single = [r for i, r in enumerate(kept) if group[i] == i]
+    assert len(single) < len(kept)
+    cut = []
+    for r, gone in zip(single, brute.repeated([(r[1] or "").encode() for r in single], 400)):
+        left, at = [], 0
+        for c in r[1] or "":
+            size = len(c.encode())
+            if not any(gone[at:at + size]):
+                left.append(c)
+            at += size
+        cut.append((r[0], "".join(left), *r[2:4], len(left)) if any(gone) else r)
+    assert any(a != b for a, b in zip(cut, single))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", cut)
+    copies = MIX_SQL.replace("::bigint * size)::bigint taken", "::bigint)::bigint taken")
+    assert copies != MIX_SQL
+    copies = {i: n for i, *_, n in con.execute(copies).fetchall()}
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, text, lang, source, n in cut:
+        ids = tuple(own.encode_ordinary(text or ""))
+        want[i, lang, source, n, len(ids), ids] += copies[i]
+    assert Counter((r.doc_id, r.lang, r.source, r.n_chars, r.n_tokens, tuple(r.ids)) for r in got) == +want

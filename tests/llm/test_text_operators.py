@@ -6,8 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from xxhash import xxh64_intdigest
 
+import brute
 from corpusforge.llm import bpe, mixing, quality, repeats, simhash, wordpiece
 
 SCHEMA = "doc_id long, text string, source string"
@@ -33,27 +33,13 @@ def test_simhash_brute_force(frame):
     data = rows()
     got = simhash.simhash_groups(frame(data, SCHEMA), "doc_id", "text").collect()
 
-    def fp(text):
-        w = (text or "").encode().lower().split()
-        hs = [xxh64_intdigest(b" ".join(w[i:i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    fps = [fp(r[1]) for r in data]
-    group = list(range(len(data)))
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-    for i in range(len(data)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
-                a, b = find(i), find(j)
-                group[max(a, b)] = min(a, b)
+    fps = [brute.fingerprint(r[1]) for r in data]
+    group = brute.groups(fps)
     low = {}
     for i, r in enumerate(data):
         if r[0] is not None:
-            low[find(i)] = min(low.get(find(i), r[0]), r[0])
-    want = Counter((r[0], f"{fps[i]:016x}", low.get(find(i))) for i, r in enumerate(data))
+            low[group[i]] = min(low.get(group[i], r[0]), r[0])
+    want = Counter((r[0], f"{fps[i]:016x}", low.get(group[i])) for i, r in enumerate(data))
     assert Counter(map(tuple, got)) == want
 
 
@@ -93,17 +79,9 @@ def test_repeats_brute_force(frame, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     data, t = rows(2), 50
     got = repeats.remove_repeats(frame(data, SCHEMA), "doc_id", "text", t).collect()
-    seen = Counter()
     raw = [(r[1] or "").encode() for r in data]
-    for b in raw:
-        seen.update(b[i:i + t] for i in range(len(b) - t + 1))
-    want = Counter()
-    for r, b in zip(data, raw):
-        gone = bytearray(len(b))
-        for i in range(len(b) - t + 1):
-            if seen[b[i:i + t]] > 1:
-                gone[i:i + t] = b"\1" * t
-        want[r[0], b, bytes(x for x, g in zip(b, gone) if not g)] += 1
+    want = Counter((r[0], b, bytes(x for x, g in zip(b, gone) if not g))
+                   for r, b, gone in zip(data, raw, brute.repeated(raw, t)))
     assert Counter((r.doc_id, bytes(r.text), bytes(r.kept)) for r in got) == want
     for r in got:
         assert all(a["e"] < b["s"] for a, b in zip(r.spans or [], (r.spans or [])[1:]))
