@@ -96,7 +96,7 @@ def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(f"_r = {k}").select("q", F.col(value).alias("kth"))
 
 
-def top_k(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 5, bits: int = 6,
+def top_k(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 5, bits: int = 8,
           block: int = BLOCK) -> DataFrame:
     """``df[vec_col]``: integer vectors. ``(query_id, rank, vec_id, score)``: for
     every row with ``is_query`` the ``k`` highest inner products with rows of

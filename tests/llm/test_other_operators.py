@@ -36,7 +36,7 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits,block", [(6, 4096), (1, 3)])
+@pytest.mark.parametrize("bits,block", [(8, 4096), (6, 4096), (1, 3)])
 def test_top_k_brute_force(frame, bits, block):
     rng = random.Random(2)
     data = [(i, [rng.randint(-50, 50) for _ in range(6)]) for i in range(150)]
