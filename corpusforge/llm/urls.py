@@ -2,11 +2,17 @@
 
 A list of rules (host, path prefix, verdict) decides the urls it fits; the rest
 is decided by association rules. The urls the list decides are the labelled
-ones. Every url becomes the set of its tokens, a labelled one with its verdict,
-Spark's FP-growth mines the sets, and the rules "tokens => block" of enough
-support and confidence are kept. Urls without a label count against a rule, so
-that a token does not block all its urls because the list knows the bad ones. A rule that contains a smaller kept rule is dropped, as it
-fires on nothing more.
+ones, and only they are mined: each becomes the set of its tokens with its
+verdict, and Spark's FP-growth finds the rules "tokens => verdict" of enough
+support and confidence among them. A confidence no higher than the verdict's
+share of the labelled urls says nothing about the tokens, so such rules are not
+kept (a list of one verdict gives none). The tokens that the list's own
+rules consist of are left out, as they only repeat the list.
+
+Both verdicts are classes. Of the rules that fire on a url the one of highest
+confidence decides, then of highest support, then of fewest tokens, then allow.
+A rule that contains a smaller one ranked before it never decides and is
+dropped.
 
 Matching: the urls to decide are reduced to their distinct token sets (a hot
 set is pre-aggregated), the rules to an index from token to rule; a set fires
@@ -17,6 +23,8 @@ its size is still checked before it is sent to every executor.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import cut, join_checked, ready
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = "verdict=block"
+LABEL = "verdict="
 
 
 def host_of(url) -> Column:
@@ -59,18 +67,31 @@ def listed(host, path, rules) -> Column:
     return F.array_max(F.array(*hits)) if hits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
+def list_tokens(rules) -> list[str]:
+    """The tokens that the hosts and paths of the list consist of."""
+    out = set()
+    for host, path, _ in rules:
+        words = re.sub(r"[0-9]+", "#", path.translate(str.maketrans(UPPER, LOWER)))
+        out |= {f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in re.split(r"[/._\-]+", words)}
+    return sorted(out)
+
+
 def mine(sets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """``sets``: ``(items)``, the verdict among them. ``(rule, tokens, n)``: the
-    minimal rules that block."""
+    """``sets``: ``(items)`` of the labelled urls, the verdict among them.
+    ``(rule, tokens, n, verdict, rank)``: the rules that can decide."""
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
-    rules = cut(model.associationRules.where(F.array_contains("consequent", BLOCK))
-                .where(~F.exists("antecedent", lambda x: x.startswith("verdict=")))
-                .select(F.array_sort("antecedent").alias("tokens")))
-    rules = rules.select(F.xxhash64("tokens").alias("rule"), "tokens", F.size("tokens").alias("n"))
-    # a rule goes if one of the sets that lack one of its tokens is a rule, or
-    # contains one: confidence is not monotone, so all smaller rules are tried
-    index = rules.select("rule", "n", F.explode("tokens").alias("token"))
-    parts = (index.alias("a").join(index.alias("b"), "token").where("a.n > b.n")
+    verdict = F.element_at("consequent", 1)
+    rules = cut(model.associationRules.where(verdict.startswith(LABEL) & (F.col("lift") > 1))
+                .where(~F.exists("antecedent", lambda x: x.startswith(LABEL)))
+                .select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n"),
+                        F.substr(verdict, F.lit(len(LABEL) + 1)).alias("verdict"), "confidence", "support"))
+    rules = rules.select(
+        F.xxhash64("tokens", "verdict").alias("rule"), "tokens", "n", "verdict",
+        F.struct("confidence", "support", (-F.col("n")).alias("few"), (F.col("verdict") == "allow").alias("allow"))
+        .alias("rank"))
+    # confidence is not monotone, so all smaller rules are tried
+    index = rules.select("rule", "n", "rank", F.explode("tokens").alias("token"))
+    parts = (index.alias("a").join(index.alias("b"), "token").where("a.n > b.n and a.rank < b.rank")
              .groupBy(F.col("a.rule").alias("rule"), F.col("b.rule").alias("part"), F.col("b.n").alias("n"))
              .count().where("count = n").select("rule").distinct())
     return rules.join(parts, "rule", "left_anti")
@@ -79,32 +100,34 @@ def mine(sets: DataFrame, min_support: float, min_confidence: float) -> DataFram
 def judge(df: DataFrame, id_col: str, url_col: str, rules, min_support: float = 0.01,
           min_confidence: float = 0.9) -> DataFrame:
     """One row per row of ``df``: ``(id_col, host, path, rule, verdict,
-    mined)``; ``mined`` is true if an association rule decided. Without a
-    fitting rule of either kind the verdict is allow. A null url, or one
+    mined)``; ``mined`` is true if an association rule gave another verdict than
+    allow. Without a fitting rule of either kind the verdict is allow. A null url, or one
     without ``://``, has empty host and path and no tokens but its query's."""
     ready(df.sparkSession)
     url = F.col(url_col).cast("string")
     base = df.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"),
                      url.alias("_url"))
-    base = base.select("_id", "host", "path", tokens_of(F.col("_url"), F.col("host"), F.col("path")).alias("_set"),
+    own = list_tokens(rules)
+    tokens = F.filter(tokens_of(F.col("_url"), F.col("host"), F.col("path")), lambda x: ~x.isin(own))
+    base = base.select("_id", "host", "path", tokens.alias("_set"),
                        listed(F.col("host"), F.col("path"), rules).alias("_hit"))
-    label = F.concat(F.lit("verdict="), F.col("_hit.verdict"))
-    seen = base.select(F.when(F.col("_hit").isNull(), F.col("_set")).otherwise(
-        F.array_append("_set", label)).alias("items"))
-    if base.where("_hit is not null").isEmpty():
-        fired = base.select("_set").where(F.lit(False))
+    label = F.concat(F.lit(LABEL), F.col("_hit.verdict"))
+    seen = base.where("_hit is not null").select(F.array_append("_set", label).alias("items"))
+    if seen.isEmpty():
+        fired = base.select("_set", F.lit("").alias("_mined")).where(F.lit(False))
     else:
         found = cut(mine(seen, min_support, min_confidence))
-        size = found.agg(F.sum(64 * F.col("n"))).first()[0] or 0
-        index = found.select("rule", "n", F.explode("tokens").alias("token"))
+        size = found.agg(F.sum(96 * F.col("n"))).first()[0] or 0
+        index = found.select("rule", "n", "verdict", "rank", F.explode("tokens").alias("token"))
         sets = base.where("_hit is null").select("_set").distinct()
         fired = (join_checked(sets.select("_set", F.explode("_set").alias("token")), index, "token", "inner", size)
-                 .groupBy("_set", "rule", "n").count().where("count = n").select("_set").distinct())
+                 .groupBy("_set", "rule", "n", "verdict", "rank").count().where("count = n")
+                 .groupBy("_set").agg(F.max_by("verdict", "rank").alias("_mined")))
     fired = cut(fired)
     size = fired.agg(F.sum(F.length(F.concat_ws(",", "_set")) + 64)).first()[0] or 0
-    out = join_checked(base, fired.withColumn("_fired", F.lit(True)), "_set", "left", size)
-    mined = F.col("_hit").isNull() & F.coalesce("_fired", F.lit(False))
+    out = join_checked(base, fired, "_set", "left", size)
+    mined = F.when(F.col("_hit").isNull(), F.col("_mined"))
     return out.select(
         F.col("_id").alias(id_col), "host", "path", F.col("_hit.rule").alias("rule"),
-        F.coalesce("_hit.verdict", F.when(mined, "block").otherwise("allow")).alias("verdict"),
-        mined.alias("mined"))
+        F.coalesce("_hit.verdict", mined, F.lit("allow")).alias("verdict"),
+        F.coalesce(mined != "allow", F.lit(False)).alias("mined"))

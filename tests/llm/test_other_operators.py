@@ -124,6 +124,22 @@ def test_url_mining(frame):
     assert {r.verdict for r in none} == {"allow"}
 
 
+def test_url_mining_counts_labelled_urls_only(frame):
+    rows = [(i, f"http://casino{i % 7}.net/win-{i}") for i in range(40)]        # listed, blocked
+    rows += [(100 + i, f"http://good{i % 9}.org/fr/page-{i}") for i in range(40)]
+    rows += [(1000 + i, f"http://other{i}.com/win-{i}") for i in range(300)]
+    rows += [(2000 + i, f"http://other{i}.com/page-{i}") for i in range(5000)]
+    rows += [(9000, "http://casino3.com/page-1"), (9001, "http://net.com/en")]
+    schema = "page_id long, url string"
+    got = {r.page_id: r for r in urls.judge(frame(rows, schema), "page_id", "url", RULES).collect()}
+    assert all(got[i].verdict == "block" and got[i].mined for i in range(1000, 1300))
+    assert all(got[i].verdict == "allow" and not got[i].mined for i in range(2000, 7000))
+    assert got[9000].verdict == "allow"     # p:page has more support than h:casino3
+    assert got[9001].verdict == "allow"     # h:net is the list's own
+    one = urls.judge(frame(rows, schema), "page_id", "url", [r for r in RULES if r[2] == "block"]).collect()
+    assert not any(r.mined for r in one)    # one class: nothing to tell apart
+
+
 def text_of(page):
     return html_tree.main_text(html_tree.parse(page))
 
