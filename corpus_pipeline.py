@@ -22,12 +22,17 @@ def quality_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the document of smallest id of each group stays. Rows that
-    share that id all stay; a group without any id keeps its rows."""
-    groups = simhash.simhash_groups(docs, "doc_id", "text", shingle=3, max_distance=3)
-    stay = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_stay")).distinct())
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """Operator 6: one row of each group stays, the one of smallest id (null
+    ids last) and of those the first. Rows are numbered once and the numbers
+    written, so rows that repeat an id, and rows without one, are told apart."""
+    ready(spark)
+    path = scratch_path(spark, "pipeline-numbered")
+    docs.withColumn("_row_no", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    own = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", F.col("_row_no").alias("no"))
+    groups = simhash.simhash_groups(rows.select(own.alias("_own"), "text"), "_own", "text", shingle=3, max_distance=3)
+    stay = groups.where("_own.no = component_id.no").select(F.col("_own.no").alias("_row_no"))
+    return rows.join(stay, "_row_no", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,22 @@ def test_stages(spark, tmp_path):
     assert again == last
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows and copies without an id, through stages 2 and 3."""
+    rng = random.Random(4)
+    a, b, c, d, e, f = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100)) for _ in range(6))
+    rows = [(1, a), (1, a), (None, b), (None, b), (None, b), (5, c), (None, c), (None, d), (7, e), (7, f), (3, c), (9, None)]
+    rows = [(i, x, "en", "s", x and len(x)) for i, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    near = cp.near_duplicates(spark, docs, str(tmp_path)).persist()
+    want = Counter([(1, a), (None, b), (3, c), (None, d), (7, e), (7, f), (9, None)])
+    assert near.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == want
+    cut = cp.repeated_passages(spark, near, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in cut) == want
+    assert all(r.n_chars == (r.text and len(r.text)) for r in cut)
+
+
 def test_run_matches_brute_force(spark, tmp_path):
     """run() against one row at a time; only the learned scores are taken over."""
     import public_tokenizers as P
