@@ -182,7 +182,8 @@ def held_out(id_col):
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
           per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """Learn from ``labels`` (0 or 1; other values and null ids are ignored; of
-    several labels of one id the smallest counts) outside the held-out fifth."""
+    several labels of one id the smallest counts) outside the held-out fifth.
+    An id is learned from once, however many rows repeat it."""
     ready(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
              .where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
@@ -196,10 +197,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     some = picks[0].unionByName(picks[1])       # at most 2 * per_class rows
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = (docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(some), "_id")
-            .where(F.octet_length("_text") <= max_bytes))
+            .where(F.octet_length("_text") <= max_bytes).withColumn("_h", F.xxhash64("_text")))
+    # of several rows of one id that of the smallest text hash counts
+    one = cut(rows.groupBy("_id").agg(F.min("_h").alias("_h")))
+    rows = rows.join(F.broadcast(one), ["_id", "_h"]).select("_id", "_text", "_y")
 
     def describe(batches):
+        seen = set()        # at most 2 * per_class ids
         for batch in batches:
+            new = []
+            for i, x in enumerate(batch.column(0).to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if not new:
+                continue
+            batch = batch.take(pa.array(new, pa.int64()))
             texts = batch.column(1).to_pylist()
             parts: list[list[np.ndarray]] = [[] for _ in texts]
             for row, x in passages(texts):
@@ -210,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                                              names=["id", "y", "x"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(describe, f"id {kind}, y int, x binary").collect()
+    got = (rows.mapInArrow(describe, f"id {kind}, y int, x binary")
+           .groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect())
     got.sort(key=lambda r: (r["id"], bytes(r["x"])))
     n = {y: max(1, sum(r["y"] == y for r in got)) for y in (0, 1)}
     return fit([(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(np.float64), float(r["y"]),

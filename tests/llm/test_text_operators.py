@@ -218,6 +218,19 @@ def test_quality_learns_and_ignores_held_out(frame, spark):
     assert again == {k: r.score for k, r in got.items()}
 
 
+def test_quality_learns_from_each_id_once(frame, spark, monkeypatch):
+    data = [(i, f"document {i} " * (i + 1), None) for i in range(40)]
+    data += [(3, data[3][1], None)] * 50 + [(4, f"other text {i}", None) for i in range(50)] + [(6, "x" * 70, None)]
+    ids = [i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5]
+    assert {3, 4} <= set(ids)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", seen.extend)
+    quality.train(frame(data, SCHEMA), labels, "doc_id", "text", "quality", max_bytes=10_000)
+    assert sorted(y for _, y, _ in seen) == sorted(float(i % 2) for i in ids)
+    assert all(w == 1 for _, _, w in seen)
+
+
 def test_empty_tables(frame, spark):
     import public_tokenizers as P
     path = P.path("byte_bpe_50k.tiktoken")
