@@ -282,10 +282,12 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, threshold: int = 4
         large = (rows.join(twice, ["gram", "w"]).groupBy("id", "h", "pos")
                  .agg(F.min("s").alias("s"), (F.max("s") + t).alias("e")).select("id", "h", "s", "e"))
         part = small.unionByName(large)
+    # rows that repeat an id and a text name the same spans, which count once
+    spans = full.unionByName(part).distinct()
     # overlapping and touching spans of a document become one run
     by = Window.partitionBy("id", "h").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (full.unionByName(part).withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1))
+    runs = (spans.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1))
             .withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))))
     return runs.groupBy("id", "h", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 

@@ -97,6 +97,18 @@ def test_repeats_long_text_pieces(frame, monkeypatch):
     assert got == {1: [(1000, 1800)], 2: [(3, 803)]}
 
 
+def test_repeated_rows_name_a_span_once(frame):
+    """What goes into the window over an id's spans does not grow with its copies."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefgh", k=300))
+    for own in (None, 1):
+        df = repeats.repeated_spans(frame([(own, text, None)] * 40 + [(2, text[:200], None)], SCHEMA), "doc_id", "text", 50)
+        assert sorted((r.id or 0, r.s, r.e) for r in df.collect()) == [(own or 0, 0, 300), (2, 0, 200)]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("Window"):]
+        assert "Aggregate [id" in below[:below.index("Union")]
+
+
 def test_cut_rows_keeps_characters_whole(spark):
     a, b = "é" * 60 + "one", "xé" + "é" * 59 + "é two"
     df = spark.createDataFrame([(1, a, "en", "s", 63), (2, b, None, None, 66), (3, None, "en", "s", None)],
