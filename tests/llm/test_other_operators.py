@@ -182,3 +182,19 @@ def test_style_tree_removes_what_a_host_repeats(frame):
     assert got[3] == "Story number 3 is about 9"
     assert got[50] == "alone" and got[51] == "" and got[52] == "Welcome to our site"
     assert html_tree.extract(frame([], "page_id long, url string, html string"), "page_id", "url", "html").count() == 0
+
+
+def test_copies_are_one_page_of_their_host(frame):
+    page = "<html><body><div class=story><p>{}</p></div></body></html>"
+    rows = [(i, "http://a.b/x", page.format("The same story")) for i in range(80)]
+    rows += [(100 + i, "http://a.b/x", page.format(f"Story {i} of {i * i}")) for i in range(20)]
+    rows += [(200, "http://c.d/", "<p>one text")] * 5 + [(300, "http://e.f/", "<p>this text")] * 5 + [(301, "http://e.f/", "<p>other")]
+    # different pages that read alike: nothing else is there, so their text stays
+    rows += [(400 + i, "http://g.h/", f"<!-- {i} -->" + page.format("Closed")) for i in range(9)]
+    out = html_tree.extract(frame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()
+    assert len(out) == len(rows)
+    text = {r.page_id: r.text for r in out}
+    assert all(text[i] == "The same story" for i in range(80))
+    assert all(text[100 + i] == f"Story {i} of {i * i}" for i in range(20))
+    assert text[200] == "one text" and text[300] == "this text" and text[301] == "other"
+    assert all(text[400 + i] == "Closed" for i in range(9))
