@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, html_tree, hyperplanes, mixing, quality, repeats, simhash, urls, vafile, wordpiece
+from corpusforge.llm import (bpe, html_tree, hyperplanes, lexical, mixing, quality, repeats, simhash, urls, vafile,
+                             wordpiece)
 from corpusforge.llm.common import table
 
 
@@ -70,9 +71,14 @@ def op10_repeated_windows(spark, sf):
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), "doc_id", "text",
+                          table(spark, sf, "benchmark"), "item_id", "text", k=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_mil, op2_url_rules, op3_va_top_k, op4_mix_sources, op5_near_embeddings, op6_simhash_groups,
-    op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows)}
+    op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows, op11_lexical_search)}
 
 #: Sampling rank, offset and size classes are those of ``mixing``.
 MIX_SQL = r"""
@@ -123,4 +129,28 @@ r as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE = {"op3_va_top_k": TOP_K_SQL, "op4_mix_sources": MIX_SQL}
+SEARCH_SQL = r"""
+with t as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from documents),
+f as (select doc_id, term, count(*)::bigint tf from t group by all),
+d as (select doc_id, sum(tf)::bigint n from f group by all),
+a as (select count(*)::bigint docs, sum(n)::bigint terms from d),
+m as (select doc_id, 50 + (50 * n * docs) // terms m from d, a),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint w from f, a group by term),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from benchmark),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score
+  from i join w using (term) join f using (term) join m using (doc_id) group by all),
+r as (
+  select *, (row_number() over (partition by item_id order by score desc, doc_id))::int rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
+"""
+
+ORACLE = {"op11_lexical_search": SEARCH_SQL, "op3_va_top_k": TOP_K_SQL, "op4_mix_sources": MIX_SQL}
