@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import chunks, ready, slices
 
-CACHE = 400_000         # words a task remembers
-CHUNK = 2 << 20         # bytes encoded at a time
+CACHE = 150_000         # words a task remembers
+CHUNK = 1 << 20         # bytes encoded or decoded at a time
 SCAN = 1 << 19          # characters split into words at a time
 
 #: Fixed value: the split pattern that `Splitter` follows without a regex engine.
@@ -144,6 +145,7 @@ class Vocabulary:
     def __init__(self, data: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
         self.split = Splitter(pattern)
+        self.bytes = byte_table(data)
         self.byte = np.array([self.rank[bytes((i,))] for i in range(256)], np.int64)
         # every pair of tokens that makes a token, sorted
         made = sorted((self.rank[b[:i]] << 32 | self.rank[b[i:]], r) for b, r in self.rank.items()
@@ -235,11 +237,22 @@ class Vocabulary:
             np.concatenate(x)[order] for x in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, size)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, joined, and their number for each text."""
+        """Ids of all texts, joined, and their number for each text. A text
+        over ``SCAN`` characters is encoded in parts."""
+        if self.split.kind is None or all(len(t) <= SCAN for t in texts):
+            return self._encode(texts)
+        out, count = [], []
+        for t in texts:
+            ids = [self._encode([part])[0] for part in _parts(t)]
+            out += ids
+            count.append(sum(map(len, ids)))
+        return np.concatenate([np.empty(0, np.int32), *out]), np.array(count, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts, keys, checks, word = self.split.words(texts)
         one, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if not np.array_equal(checks[first][back], checks):
-            raise ValueError("two words share a 64-bit key")    # probability about words**2 / 2**65
+            return self._plain(texts)
 
         def unknown():
             i = np.minimum(np.searchsorted(self.keys, one), max(len(self.keys) - 1, 0))
@@ -253,13 +266,37 @@ class Vocabulary:
             self.learn([word(i) for i in first[new].tolist()], one[new], checks[first[new]])
         i = np.searchsorted(self.keys, one)
         if not np.array_equal(self.checks[i], checks[first]):
-            raise ValueError("two words share a 64-bit key")
+            return self._plain(texts)
         at, size = self.at[i][back], self.size[i][back]
         ids = self.ids[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(counts)]]
         return ids, np.diff(ends)
 
-
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the words themselves, for texts in which two words share
+        a 64-bit key."""
+        words = [self.split.regex.findall(t) for t in texts]
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        ids, size = self.replay([w.encode() for w in place])
+        known = np.split(ids, np.cumsum(size)[:-1]) if len(size) else []
+        out = [np.concatenate([np.empty(0, np.int32), *(known[place[w]] for w in ws)]) for ws in words]
+        return np.concatenate([np.empty(0, np.int32), *out]), np.array([len(x) for x in out], np.int64)
+
+
+def _parts(text: str):
+    """A text in parts of about half of ``SCAN``, cut before a space between
+    two ASCII letters, where a word of ``PATTERN`` starts in any case."""
+    at = 0
+    while len(text) - at > SCAN:
+        m = _CUT.search(text, at + SCAN // 2)
+        if not m:
+            break
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 _LOADED: dict[tuple[int, str], Vocabulary] = {}
 
 
@@ -288,22 +325,42 @@ def _share(spark, ranks_path: str):
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str,
-           keep: list[str] = ()) -> DataFrame:
+           keep: list[str] = (), decoded: str | None = None) -> DataFrame:
     """``(id_col, *keep, ids array<int>)``, one row per row. Each match of
     ``pattern`` is encoded by itself, without special tokens; null and empty
-    texts have no ids. Kept columns must not be named ``ids``."""
+    texts have no ids. With ``decoded`` a last column of that name holds the
+    bytes that the ids decode to, from the same pass over the texts."""
     ready(df.sparkSession)
     ranks = _share(df.sparkSession, ranks_path)
+    names = [id_col, *keep, "ids", *([decoded] if decoded else [])]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns repeat a name: {names}")
     src = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), id_col, *keep)
 
     def run(batches):
         vocab = _vocabulary(ranks, pattern)
         for part in (part for b in batches for part in slices(b, 0, CHUNK)):
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], _lists(*vocab.encode(part.column(0).to_pylist()))],
-                                             names=[*part.schema.names[1:], "ids"])
+            ids = _lists(*vocab.encode(part.column(0).to_pylist()))
+            more = [_joined_bytes(vocab.bytes, ids)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, *more], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{fields}, ids array<int>")
+    return src.mapInArrow(run, f"{fields}, ids array<int>" + (f", `{decoded}` binary" if decoded else ""))
+
+
+def _joined_bytes(table: pa.Array, ids: pa.Array) -> pa.Array:
+    """Per list of ids the joined bytes; null for null."""
+    got = table.take(ids.flatten())
+    if got.null_count:
+        raise ValueError("an id is not in the rank file")
+    ends = np.r_[0, np.cumsum(pc.binary_length(got).to_numpy(zero_copy_only=False), dtype=np.int64)]
+    count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    cuts = ends[np.r_[0, np.cumsum(count, dtype=np.int64)]]
+    body = got.buffers()[2] if len(got) else pa.py_buffer(b"")
+    if not ids.null_count:      # the bytes already lie one behind the other
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int32)), body])
+    whole, at = body.to_pybytes(), cuts.tolist()
+    return pa.array([None if g else whole[a:b] for g, a, b in zip(ids.is_null().to_pylist(), at, at[1:])], pa.binary())
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFrame:
@@ -316,19 +373,11 @@ def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFra
     def run(batches):
         table = byte_table(ranks.value)
         for batch in batches:
-            ids = batch.column(1)
-            flat = ids.flatten()
-            got = table.take(flat)
-            if got.null_count:
-                raise ValueError("an id is not in the rank file")
-            ends = np.r_[0, np.cumsum(pc.binary_length(got).to_numpy(zero_copy_only=False), dtype=np.int64)]
-            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            cuts = ends[np.r_[0, np.cumsum(count, dtype=np.int64)]].tolist()
-            body = got.buffers()[2].to_pybytes() if len(got) else b""
-            gone = ids.is_null().to_pylist()
-            out = [None if g else body[a:b] for g, a, b in zip(gone, cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())],
-                                             names=["id", "ids", "bytes"])
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
+            for i, j in chunks(size, CHUNK // 4):
+                ids = batch.column(1).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, _joined_bytes(table, ids)],
+                                                 names=["id", "ids", "bytes"])
 
     kind = src.schema["_id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)

@@ -49,8 +49,8 @@ def op7_main_text(spark, sf):
 def op8_byte_bpe(spark, sf):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, "doc_id", "ids", path).select(
+    ids = bpe.encode(table(spark, sf, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN, decoded="bytes")
+    return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))
