@@ -68,7 +68,7 @@ def op10_repeated_windows(spark, sf):
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         (F.octet_length("text") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
 def op11_lexical_search(spark, sf):

@@ -19,9 +19,14 @@ for each byte of text, so whole runs of windows go through a pass as one row:
    anchor that repeat give one span, from the first to the last.
 
 Groups of more than ``GROUP`` contexts are never held together: their windows
-become rows, counted by a hash aggregate with partial aggregation. Digits are
-64-bit hashes, and the digits so far are part of every key, so two different
-windows count as equal only if two independent 64-bit values collide.
+become rows, counted by a hash aggregate with partial aggregation. The first
+digit is only a key; the digits that decide on equality are polynomial hashes
+modulo two primes of 31 bits (62 bits in all), which structured text does not
+tie as it ties one modulo a power of two. Two different windows count as equal
+only if both residues collide.
+
+The first digit is counted before anything else moves: a pass emits the grams
+alone, and only anchors whose gram occurs again become rows of the later passes.
 
 Text is moved only if the list of anchors wanted from it is too large to
 broadcast (the size is measured first).
@@ -44,15 +49,25 @@ BATCH = 1024             # contexts of small grams compared at a time
 
 _TABLE = np.random.default_rng(7).integers(1, 2 ** 63, 256, dtype=np.uint64) | np.uint64(1)
 _MUL = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
+#: Moduli and bases of the hashes that decide on equality (fixed values).
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1315423911, 1776543211)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
+def _powers(base: int, n: int, mod: int = 2 ** 64) -> np.ndarray:
+    """``base ** i`` modulo ``mod``, which is 2**64 or a prime under 2**31."""
+    have = _POWERS.get((base, mod))
     if have is None or len(have) < n:
-        have = np.full(n, base, np.uint64)
-        have[0] = 1
-        have = _POWERS[base] = np.cumprod(have)
+        if mod == 2 ** 64:
+            have = np.full(n, base, np.uint64)
+            have[0] = 1
+            have = np.cumprod(have)
+        else:       # doubling: the second half is the first times base ** half
+            have = np.ones(1, np.uint64)
+            while len(have) < n:
+                have = np.r_[have, have * np.uint64(pow(base, len(have), mod)) % np.uint64(mod)]
+        _POWERS[base, mod] = have
     return have[:n]
 
 
@@ -61,15 +76,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2**64, along the last axis."""
-    out = np.zeros((*buf.shape[:-1], buf.shape[-1] + 1), np.uint64)
-    np.cumsum(_TABLE[buf] * _powers(_MUL, buf.shape[-1]), axis=-1, out=out[..., 1:])
+def _grams(buf: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram at every byte, for choosing anchors: a polynomial
+    modulo 2**64, fast and good enough for a key."""
+    pre = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * _powers(_MUL, len(buf)), out=pre[1:])
+    return _mix((pre[gram:] - pre[:-gram]) * _powers(pow(_MUL, -1, 2 ** 64), len(buf) - gram + 1))
+
+
+def _prefix(buf: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums of the two polynomials, along the last axis. Sums of fewer
+    than 2**32 terms under 2**31 fit in 64 bits."""
+    out = []
+    for p, base in zip(_PRIMES, _BASES):
+        pre = np.zeros((*buf.shape[:-1], buf.shape[-1] + 1), np.uint64)
+        np.cumsum(buf.astype(np.uint64) * _powers(base, buf.shape[-1] + 1, p)[1:] % np.uint64(p), axis=-1, out=pre[..., 1:])
+        out.append(pre % np.uint64(p))
     return out
 
 
-def _back(n: int) -> np.ndarray:
-    return _powers(pow(_MUL, -1, 2 ** 64), n)
+def _between(pre: list[np.ndarray], a, z, shift: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from ``a`` to ``z`` (indexes into the last axis), of
+    which ``shift`` stand before them."""
+    parts = []
+    for x, p, base in zip(pre, _PRIMES, _BASES):
+        back = _powers(pow(base, -1, p), int(shift.max(initial=0)) + 1, p)[shift]
+        parts.append((x[..., z] + np.uint64(p) - x[..., a]) % np.uint64(p) * back % np.uint64(p))
+    return parts[0] << np.uint64(31) | parts[1]
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -94,8 +127,8 @@ def _pieces(texts, t: int, gram: int):
                     yield row, lo, a, a + PIECE, part
 
 
-def _anchor_rows(pieces, t: int, gram: int):
-    """Arrays row, pos, left, right, gram hash, context hash and number of the
+def _anchor_rows(pieces, t: int, gram: int, only_grams: bool = False):
+    """Gram hashes of the anchors, or arrays row, pos, left, right, gram hash, context hash and number of the
     anchors, one entry for all anchors of a piece that agree in gram and
     context (pos is the first), and their merged spans: ends of each entry's
     list, starts and ends of the spans. Periodic text has an anchor in every
@@ -105,8 +138,7 @@ def _anchor_rows(pieces, t: int, gram: int):
     size = np.array([len(p) for p in parts])
     off = np.concatenate([[0], np.cumsum(size)])
     buf = np.frombuffer(b"".join(parts), np.uint8)
-    pre, back = _prefix(buf), _back(len(buf))
-    g = _mix((pre[gram:] - pre[:-gram]) * back[:len(buf) - gram + 1])
+    g = _grams(buf, gram)
     low = np.uint64((1 << 24) - 1)
     at = _sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), t - gram + 1) & low
     piece = np.repeat(np.arange(len(parts)), size)[:len(at)]
@@ -118,7 +150,9 @@ def _anchor_rows(pieces, t: int, gram: int):
     pos = p - off[piece] + lo[piece]
     mine = (pos >= own[piece]) & (pos < end[piece])
     p, piece, pos, a, z = p[mine], piece[mine], pos[mine], a[mine], z[mine]
-    ctx = _mix((pre[z] - pre[a]) * back[a]) ^ _mix(((p - a) * 4096 + (z - p)).astype(np.uint64))
+    if only_grams:
+        return g[p]
+    ctx = _mix(_between(_prefix(buf), a, z, a)) ^ _mix(((p - a) * 4096 + (z - p)).astype(np.uint64))
     left, right, g = p - a, z - p, g[p]
     order = np.lexsort((pos, ctx, g, piece))
     piece, pos, left, right, g, ctx = (x[order] for x in (piece, pos, left, right, g, ctx))
@@ -131,6 +165,18 @@ def _anchor_rows(pieces, t: int, gram: int):
             np.diff(np.r_[first, len(pos)]), lists, pos[span] - left[span], (pos[last[:len(span)]] + right[last[:len(span)]]))
 
 
+def _anchor_grams(t: int, gram: int):
+    """Texts -> ``(gram, n)``, one row per distinct gram of a run of bytes."""
+    def run(batches):
+        for batch in (part for b in batches for part in slices(b, 2, 4 * CHUNK)):
+            pieces = list(_pieces(batch.column(2).to_pylist(), t, gram))
+            found = [_anchor_rows(pieces[i:j], t, gram, True) for i, j in chunks([len(p[4]) for p in pieces], CHUNK)]
+            if found:
+                g, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["gram", "n"])
+    return run
+
+
 def _anchors(t: int, gram: int):
     def run(batches):
         for batch in (part for b in batches for part in slices(b, 2, 4 * CHUNK)):
@@ -155,9 +201,8 @@ def _window_hashes(texts: list[bytes], t: int):
     width = int(size.max())
     span = width - t + 1
     buf = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in texts), np.uint8).reshape(len(texts), width)
-    pre = _prefix(buf)
-    h = _mix((pre[:, t:t + span] - pre[:, :span]) * _back(span))
-    return h, np.arange(span) <= (size - t)[:, None]
+    at = np.arange(span)
+    return _between(_prefix(buf), at, at + t, at), at <= (size - t)[:, None]
 
 
 def _repeats_in_groups(t: int):
@@ -220,18 +265,26 @@ def _window_rows(t: int):
     return run
 
 
+def _kept_runs(b: bytes, cuts) -> list[bytes]:
+    at, parts = 0, []
+    for c in cuts:
+        parts.append(b[at:c["s"]])
+        at = c["e"]
+    return [*parts, b[at:]]
+
+
+def _decoded(parts: list[bytes]) -> str:
+    """The runs as text; a cut that starts or ends inside a character takes all of it."""
+    return "".join(x.decode(errors="ignore") for x in parts)
+
+
 def _cut_out(batches):
     for batch in (part for b in batches for part in slices(b, 1, 4 * CHUNK)):
         texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        kept = []
-        for b, cuts in zip(texts, spans):
-            at, parts = 0, []
-            for c in cuts or ():
-                parts.append(b[at:c["s"]])
-                at = c["e"]
-            kept.append(b"".join([*parts, b[at:]]) if cuts else b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
-                                          pa.array(kept, pa.binary())], names=["id", "text", "spans", "kept"])
+        runs = [_kept_runs(b, cuts) if cuts else [b] for b, cuts in zip(texts, spans)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array([b"".join(x) for x in runs], pa.binary()),
+             pa.array(map(_decoded, runs), pa.string())], names=["id", "text", "spans", "kept", "kept_text"])
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -246,9 +299,12 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, threshold: int = 4
     t, gram = threshold, min(GRAM, threshold)
     src = _source(df, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()
-    anchors = cut(src.where(F.length("text") >= t).mapInArrow(
+    long_enough = src.where(F.length("text") >= t)
+    again = cut(long_enough.mapInArrow(_anchor_grams(t, gram), "gram long, n long")
+                .groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
+    anchors = cut(join_checked(long_enough.mapInArrow(
         _anchors(t, gram), f"id {kind}, h long, pos long, l int, r int, gram long, ctx long, "
-        "n long, spans array<struct<s:bigint,e:bigint>>"))
+        "n long, spans array<struct<s:bigint,e:bigint>>"), again, "gram", "left_semi", 32 * again.count()))
     classes = anchors.groupBy("gram", "ctx").agg(
         F.sum("n").alias("n"), F.min(F.struct("id", "h", "pos", "l", "r")).alias("one"))
     classes = cut(classes)
@@ -301,9 +357,10 @@ def _span_lists(df: DataFrame, id_col: str, text_col: str, threshold: int):
 
 
 def remove_repeats(df: DataFrame, id_col: str, text_col: str, threshold: int = 400) -> DataFrame:
-    """One row per row of ``df``: ``(id_col, text, spans, kept)`` with the bytes
-    of the text, the removed runs ``[s, e)`` in order (null if none) and the
-    remaining bytes. Null text counts as empty. Rows that repeat an id and a
+    """One row per row of ``df``: ``(id_col, text, spans, kept, kept_text)`` with
+    the bytes of the text, the removed runs ``[s, e)`` in order (null if none),
+    the remaining bytes, and these as text (without characters cut through).
+    Null text counts as empty. Rows that repeat an id and a
     text are rows like any other, so each repeats the other's windows; a null
     id is a value like any other. Other columns are not read."""
     spans, total = _span_lists(df, id_col, text_col, threshold)
@@ -312,7 +369,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, threshold: int = 4
                         "left", total).select("id", "text", F.col("_spans").alias("spans"))
     kind = both.schema["id"].dataType.simpleString()
     return both.mapInArrow(
-        _cut_out, f"id {kind}, text binary, spans array<struct<s:bigint,e:bigint>>, kept binary"
+        _cut_out, f"id {kind}, text binary, spans array<struct<s:bigint,e:bigint>>, kept binary, kept_text string"
     ).withColumnRenamed("id", id_col)
 
 
@@ -324,15 +381,7 @@ def _cut_text(at: int, chars: int | None):
             texts, spans = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             new = []
             for b, cuts in zip(texts, spans):
-                if not cuts:
-                    new.append(None if b is None else b.decode())
-                    continue
-                # a cut that starts or ends inside a character takes all of it
-                at0, parts = 0, []
-                for c in [*cuts, None]:
-                    parts.append(b[at0:c["s"] if c else len(b)].decode(errors="ignore"))
-                    at0 = c["e"] if c else 0
-                new.append("".join(parts))
+                new.append(_decoded(_kept_runs(b, cuts)) if cuts else None if b is None else b.decode())
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(new, pa.string())
             if chars is not None:
@@ -350,8 +399,12 @@ def cut_rows(df: DataFrame, id_col: str, text_col: str, threshold: int = 400,
     follows a changed text. Null texts stay null; texts may become empty."""
     spans, total = _span_lists(df, id_col, text_col, threshold)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = join_checked(df, spans, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.xxhash64(text) == F.col("_h2")),
-                        "left", total).select(*df.columns, "_spans")
-    cols = df.columns
+    # names of the other side that no column of the rows has
+    cols, pad = df.columns, "_"
+    while any(c.startswith(pad) for c in cols):
+        pad += "_"
+    spans = spans.toDF(pad + "id", pad + "h", pad + "spans")
+    both = join_checked(df, spans, F.col(id_col).eqNullSafe(F.col(pad + "id")) & (F.xxhash64(text) == F.col(pad + "h")),
+                        "left", total).select(*[F.col(f"`{c}`") for c in cols], pad + "spans")
     return both.mapInArrow(_cut_text(cols.index(text_col), cols.index(chars_col) if chars_col in cols else None),
                            df.schema)

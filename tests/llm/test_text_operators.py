@@ -255,3 +255,21 @@ def test_empty_tables(frame, spark):
     assert quality.quality(e, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+
+
+def test_structured_text_does_not_tie_the_hashes(frame):
+    """Blocks in the order of Thue-Morse digits and with the digits swapped: a
+    polynomial modulo a power of two gives both the same value."""
+    digits = [bin(i).count("1") % 2 for i in range(64)]
+    tail = "".join(random.Random(0).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=144))
+    pair = ["".join(("tgna", "flmo")[d ^ swap] for d in digits) + tail for swap in (0, 1)]
+    got = repeats.remove_repeats(frame([(i, t, None) for i, t in enumerate(pair)], SCHEMA), "doc_id", "text", 400).collect()
+    assert sorted((r.doc_id, r.spans, r.kept_text) for r in got) == [(0, None, pair[0]), (1, None, pair[1])]
+
+
+def test_cut_rows_keeps_columns_of_any_name(spark):
+    part = "".join(random.Random(6).choices("abcdefé", k=200))
+    df = spark.createDataFrame([(1, "x" + part, 1, 2, 3, 4), (2, part + "y", 5, 6, 7, 8)],
+                               "doc_id long, text string, _id2 int, _h2 int, _spans int, id int")
+    got = sorted(map(tuple, repeats.cut_rows(df, "doc_id", "text", 100).collect()))
+    assert got == [(1, "x", 1, 2, 3, 4), (2, "y", 5, 6, 7, 8)]
