@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.llm import (bpe, html_tree, hyperplanes, lexical, mixing, quality, repeats, simhash, urls, vafile,
-                             wordpiece)
+from corpusforge.llm import (bpe, collocations, html_tree, hyperplanes, lexical, mixing, quality, repeats,
+                             simhash, urls, vafile, wordpiece)
 from corpusforge.llm.common import table
 
 
@@ -76,9 +76,14 @@ def op11_lexical_search(spark, sf):
                           table(spark, sf, "benchmark"), "item_id", "text", k=50)
 
 
+def op13_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"), "lang", "text", longest=3, least=10, share=50, k=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_mil, op2_url_rules, op3_va_top_k, op4_mix_sources, op5_near_embeddings, op6_simhash_groups,
-    op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows, op11_lexical_search)}
+    op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows, op11_lexical_search,
+    op13_collocations)}
 
 #: Sampling rank, offset and size classes are those of ``mixing``.
 MIX_SQL = r"""
@@ -153,4 +158,36 @@ r as (
 select item_id, rank, doc_id, score from r where rank <= 50
 """
 
-ORACLE = {"op11_lexical_search": SEARCH_SQL, "op3_va_top_k": TOP_K_SQL, "op4_mix_sources": MIX_SQL}
+PHRASE_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+s as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) i from w),
+o as (
+  select lang, m size, array_to_string(ws[i:i + m - 1], ' ') phrase
+  from s, (select unnest([1, 2, 3]) m) where i + m - 1 <= len(ws)),
+f as (select lang, size, phrase, count(*)::bigint f from o group by all),
+t as (select lang, sum(f)::bigint n from f where size = 1 group by lang),
+c as (select lang, size, phrase, f a from f where size > 1 and f >= 10),
+k as (
+  select lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') fst,
+         array_to_string(string_split(phrase, ' ')[cut + 1:size], ' ') rst
+  from c, (select unnest([1, 2]) cut) where cut < size),
+x as (
+  select k.*, l.f l, r.f r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint score
+  from k join f l on l.lang = k.lang and l.phrase = fst join f r on r.lang = k.lang and r.phrase = rst),
+b as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+g as (
+  select lang, max(a) longer, sub phrase
+  from (select lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '),
+                                array_to_string(string_split(phrase, ' ')[2:3], ' ')]) sub from c where size = 3)
+  group by lang, sub),
+q as (select b.* from b left join g using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint rank from q)
+select lang, rank, phrase, a, l, r, n, score from z join t using (lang) where rank <= 2000
+"""
+
+ORACLE = {"op13_collocations": PHRASE_SQL, "op11_lexical_search": SEARCH_SQL, "op3_va_top_k": TOP_K_SQL, "op4_mix_sources": MIX_SQL}

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from corpusforge.llm import lexical
+from corpusforge.llm import collocations, lexical
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -75,3 +75,45 @@ def test_search_empty_tables(frame, spark):
     none, some = frame([], SCHEMA), frame([(1, "a b", None)], SCHEMA)
     for docs, items in ((none, some), (some, none), (frame([(1, "--", None)], SCHEMA), some)):
         assert lexical.search(docs, "doc_id", "text", items.toDF(*["item_id", *items.columns[1:]]), "item_id", "text").collect() == []
+
+
+def phrases(docs, longest, least, share, k):
+    f, total = defaultdict(Counter), Counter()
+    for _, text, lang in docs:
+        lang = lang or "und"
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(ws)
+            for m in range(1, longest + 1):
+                f[lang].update(tuple(ws[i:i + m]) for i in range(len(ws) - m + 1))
+    out = []
+    for lang, count in f.items():
+        cand = {p: a for p, a in count.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in cand.items():
+            if any(len(q) > len(p) and 100 * b >= share * a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                   for q, b in cand.items()):
+                continue
+            score, _, l, r = min((10 ** 6 * a * a // (count[p[:j]] * count[p[j:]]), j, count[p[:j]], count[p[j:]])
+                                 for j in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:k])]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("budget, chunk, longest, k", [(2_000_000, 4 << 20, 3, 2000), (20, 90, 3, 40), (60, 500, 4, 2000)])
+def test_collocations_brute_force(frame, monkeypatch, budget, chunk, longest, k):
+    """Small budgets list prefixes of one and more words; small chunks cut texts."""
+    monkeypatch.setattr(collocations, "BUDGET", budget)
+    monkeypatch.setattr(collocations, "CHUNK", chunk)
+    docs = documents(3, 150)
+    got = collocations.collocations(frame(docs, SCHEMA), "lang", "text", longest, 4, 50, k)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = phrases(docs, longest, 4, 50, k)
+    assert len(want) > 20 and Counter(map(tuple, got.collect())) == want
+
+
+def test_collocations_large_numbers_and_empty(frame, spark):
+    assert collocations.collocations(frame([], SCHEMA), "lang", "text").collect() == []
+    assert collocations.collocations(frame([(1, None, None), (2, "a, b", "en")], SCHEMA), "lang", "text").collect() == []
