@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.llm import (bpe, collocations, html_tree, hyperplanes, lexical, mixing, quality, repeats,
-                             simhash, urls, vafile, wordpiece)
+from corpusforge.llm import (bpe, brown, collocations, html_tree, hyperplanes, lexical, mixing, quality,
+                             repeats, simhash, urls, vafile, wordpiece)
 from corpusforge.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op11_lexical_search(spark, sf):
                           table(spark, sf, "benchmark"), "item_id", "text", k=50)
 
 
+def op12_class_lm(spark, sf):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return brown.score(table(spark, sf, "documents"), "doc_id", "text", held)
+
+
 def op13_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"), "lang", "text", longest=3, least=10, share=50, k=2000)
 
@@ -83,7 +88,7 @@ def op13_collocations(spark, sf):
 QUERIES = {f.__name__: f for f in (
     op1_quality_mil, op2_url_rules, op3_va_top_k, op4_mix_sources, op5_near_embeddings, op6_simhash_groups,
     op7_main_text, op8_byte_bpe, op9_token_counts, op10_repeated_windows, op11_lexical_search,
-    op13_collocations)}
+    op12_class_lm, op13_collocations)}
 
 #: Sampling rank, offset and size classes are those of ``mixing``.
 MIX_SQL = r"""

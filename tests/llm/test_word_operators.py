@@ -3,11 +3,14 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusforge.llm import collocations, lexical
+from corpusforge.llm import brown, collocations, lexical
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -117,3 +120,90 @@ def test_collocations_brute_force(frame, monkeypatch, budget, chunk, longest, k)
 def test_collocations_large_numbers_and_empty(frame, spark):
     assert collocations.collocations(frame([], SCHEMA), "lang", "text").collect() == []
     assert collocations.collocations(frame([(1, None, None), (2, "a, b", "en")], SCHEMA), "lang", "text").collect() == []
+
+
+HELD = "coalesce(crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2, false)"
+
+
+def held_out(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+
+
+def test_move_takes_the_class_of_the_highest_likelihood():
+    """Against moving the word in the text itself, and the matrix counted anew."""
+    rng = random.Random(1)
+    words = [rng.randrange(12) for _ in range(600)]
+    pairs = list(zip(words, words[1:] + words[:1]))
+    k, cls = 4, {w: w % 4 for w in range(12)}
+
+    def bigrams(of):
+        m = np.zeros((k, k))
+        for a, b in pairs:
+            m[of[a], of[b]] += 1
+        return m
+    m = bigrams(cls)
+    for w in range(12):
+        left, right = np.zeros(k), np.zeros(k)
+        for a, b in pairs:
+            if b == w:
+                left[cls[a]] += 1
+            if a == w:
+                right[cls[b]] += 1
+        double = sum(a == b == w for a, b in pairs)
+        want = max(range(k), key=lambda h: brown.likelihood(bigrams(cls | {w: h})))
+        got = brown.move(m, k, cls[w], left, right, double)
+        assert brown.likelihood(bigrams(cls | {w: got})) == pytest.approx(brown.likelihood(bigrams(cls | {w: want})))
+        cls[w] = got
+        assert np.array_equal(m, bigrams(cls))
+
+
+@pytest.mark.parametrize("block, chunk, frequent", [(24 << 20, 4 << 20, 16384), (700, 90, 6)])
+def test_class_model_brute_force(frame, monkeypatch, block, chunk, frequent):
+    """The learned classes are taken over; counts, bigrams and sums are plain loops."""
+    monkeypatch.setattr(brown, "BLOCK", block)
+    monkeypatch.setattr(brown, "CHUNK", chunk)
+    docs, stats = documents(5), []
+    got = brown.score(frame(docs, SCHEMA), "doc_id", "text", F.expr(HELD), classes=5, frequent=frequent, sweeps=4, stats=stats)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = got.collect()
+    model, _ = stats[0]
+    assert model.likelihood[0] == min(model.likelihood) and max(model.likelihood) > model.likelihood[0]
+    toks = [((t or "").encode().lower().split() + [None], held_out(i)) for i, t, _ in docs]
+    c = Counter(w for ts, held in toks if not held for w in ts)
+    words = {bytes(r.word) or None: (r.c, r.cls) for r in model.words.collect()}
+    assert {w: n for w, (n, _) in words.items()} == dict(c) and words[None][1] == 6
+    n, unknown = sum(c.values()), 7
+    cls = lambda w: words[w][1] if w in words else unknown
+    m = np.zeros((8, 8))
+    for ts, held in toks:
+        for a, b in zip([None] + ts, ts):
+            if not held:
+                m[cls(a), cls(b)] += 1
+                if c[b] == 1:
+                    m[cls(a), unknown] += 1
+                if c[a] == 1:
+                    m[unknown, cls(b)] += 1
+    assert np.array_equal(m, model.bigrams)
+    size = np.zeros(8)
+    size[unknown] = 1 + sum(x == 1 for x in c.values())
+    for w, x in c.items():
+        size[cls(w)] += x + 1
+
+    def p(a, b):
+        step = (m[cls(a), cls(b)] + 10 * size[cls(b)] / size.sum()) / (m[cls(a)].sum() + 10)
+        return step * ((c[b] + 1) / size[cls(b)] if b in c else 1)
+    for a in (None, *list(c)[:5], b"never seen"):
+        assert sum(p(a, b) for b in (*c, b"another word")) == pytest.approx(1)
+
+    def summary(r):
+        return (r[0], *r[1:5], *(round(x, 6) for x in r[5:]))
+    want = [(i, held, len(ts), sum(w in c for w in ts), n, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in ts),
+             sum(math.log10(p(a, b)) for a, b in zip([None] + ts, ts))) for (i, _, _), (ts, held) in zip(docs, toks)]
+    assert Counter(map(summary, rows)) == Counter(map(summary, want))
+
+
+def test_class_model_without_training_texts(frame):
+    docs = [(i, "a b", None) for i in range(40) if held_out(i)]
+    for data in ([], docs):
+        got = brown.score(frame(data, SCHEMA), "doc_id", "text", F.expr(HELD), classes=3, sweeps=2).collect()
+        assert sorted(map(tuple, got)) == [(i, True, 3, 0, 0, 0.0, 0.0) for i, _, _ in data]
