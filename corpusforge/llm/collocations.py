@@ -1,21 +1,19 @@
 """Phrase collocations by vertical partitioning of truncated suffixes (operator 13).
 
 The suffixes of the corpus at word borders, cut after ``longest`` words and at
-the end of their piece, form a tree whose leaf totals are the counts of the
-longest phrases and whose inner totals are those of their beginnings. The tree
-is never built as a whole:
-
-1. One pass counts words. Words under ``least`` occurrences can be in no
-   candidate, so suffixes are cut before them. The words that remain go to the
-   mappers as a bitmap of fixed size; a bit set by two words only moves a suffix
-   more, since exact counts decide at the end.
-2. Prefixes share the suffixes among groups so that a group holds about
-   ``BUDGET`` of them: first words by hash, and a first word of more suffixes
-   than the budget by its two-word prefixes, those of too many by three words,
-   and so on. Only such frequent prefixes are listed (at most the number of
-   suffixes divided by the budget, for each length).
-3. Every group merges its suffixes and reads leaf and inner totals, independent
-   of the others. Totals of a prefix that is split over groups are added up.
+the end of their piece, form a tree whose nodes' totals are the counts of the
+phrases. The tree is never built as a whole, but level by level and in groups:
+
+1. One pass counts words, the first level.
+2. A pass for each further level k emits the suffixes cut after k words, but only
+   where both phrases of k-1 words in them have ``least`` occurrences: no other
+   can. The mappers know those phrases from a bitmap of fixed size; a bit set by
+   two phrases only moves a suffix more, since exact counts decide at the end.
+3. Groups share the suffixes by their prefix of k-1 words, whose count the level
+   above gave: about ``BUDGET`` suffixes to a group, and a prefix of more than the
+   budget is split by its next word.
+4. Every group merges its suffixes and reads the totals of its leaves, independent
+   of the others. A leaf lies in one group, so its total is whole.
 
 Scores and the test for longer phrases are joins of the counted phrases with
 themselves, in decimals of 38 digits.
@@ -25,18 +23,19 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import cut, ready, slices
 from corpusforge.llm.words import Numbers, binary, parts
 
-BUDGET = 2_000_000      # suffixes of a group, counted before equal ones are merged
+BUDGET = 500_000        # suffixes of a group, counted before equal ones are merged
 CHUNK = 4 << 20         # bytes of text whose equal suffixes are merged at a time
 BITS = 1 << 26          # bits of the map of words (8 MB)
 
@@ -96,55 +95,53 @@ def _word_counts(batches):
                                          names=["lang", "w0", "n"])
 
 
-def _bit(lang: str, words) -> np.ndarray:
-    """The bit of each word, as ``xxhash64(lang, word)`` of Spark gives it."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) % BITS for w in words), np.int64, len(words))
+def _place(hashes: list):
+    """The bit of a phrase from the hashes of its words (columns of Spark)."""
+    out = hashes[0]
+    for i, h in enumerate(hashes[1:], 1):
+        out = out.bitwiseXOR(F.shiftleft(h, 7 * i).bitwiseOR(F.shiftrightunsigned(h, 64 - 7 * i)))
+    return out.bitwiseAND(F.lit(BITS - 1))
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
-    """The bits of all words, built as maps of 32,768 bits by an aggregate: at
+def _bitmap(phrases: DataFrame, names: list[str]) -> np.ndarray:
+    """The bits of all phrases, built as maps of 32,768 bits by an aggregate: at
     most ``BITS`` / 8 bytes reach the driver."""
-    at = F.pmod(F.xxhash64("lang", "w0"), F.lit(BITS))
+    at = _place([F.xxhash64("lang", c) for c in names])
     out = np.zeros(BITS // 8, np.uint8)
-    for i, part in (words.select(F.shiftright(at, 15).alias("i"), at.bitwiseAND(F.lit(32767)).alias("at")).groupBy("i")
-                    .agg(F.call_function("bitmap_construct_agg", F.col("at"))).toLocalIterator()):
+    for i, part in (phrases.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("i"))
+                    .agg(F.call_function("bitmap_construct_agg", F.col("at").bitwiseAND(F.lit(32767)))).toLocalIterator()):
         out[i * 4096:(i + 1) * 4096] = np.frombuffer(bytes(part), np.uint8)
     return out
 
 
-def _suffixes(longest: int, shared, first=None):
-    """Texts -> ``(lang, w0, ..., n)``: equal suffixes of a chunk as one row,
-    null behind the end. ``first``: only suffixes that start with a listed
-    prefix, cut one word behind it."""
+def _suffixes(k: int, shared):
+    """Texts -> ``(lang, w0, ..., n)``: suffixes cut after ``k`` words whose
+    phrases of ``k`` - 1 words are in the bitmap; equal ones of a chunk as one row."""
     def run(batches):
-        bits = shared.value[0]
-        listed = shared.value[1].get(first, {}) if first else None
+        bits = shared.value
         for lang, texts in _chunks(batches):
-            words, ids, own = _numbered(texts, longest)
+            words, ids, own = _numbered(texts, k)
             if not words:
                 continue
-            at = _bit(lang, words)
-            good = np.r_[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0, False]     # -1: between pieces
-            starts = np.flatnonzero(own)
-            cols, alive = [], np.ones(len(starts), bool)
-            for k in range((first or longest - 1) + 1):
-                x = ids[np.minimum(starts + k, len(ids) - 1)]
-                alive = alive & (starts + k < len(ids)) & good[x]
-                cols.append(np.where(alive, x, -1))
-            keep = cols[1] >= 0
-            if first:       # the prefix is listed for this language
-                numbers = {w: i for i, w in enumerate(words)}
-                want = np.array([[numbers.get(w, -2) for w in p] for p in listed.get(lang, ())], np.int64).reshape(-1, first)
-                keep = cols[first] >= 0
-                keep &= np.isin(_pack(cols[:first], len(words)), _pack(list(want[(want >= 0).all(1)].T), len(words)))
-            if not keep.any():
+            # hashes as Spark's xxhash64(lang, word) gives them
+            seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))[ids]
+            at, n = h.copy(), len(ids)
+            for i in range(1, k - 1):       # rotated as in `_place`
+                at[:n - i] ^= h[i:] << np.uint64(7 * i) | h[i:] >> np.uint64(64 - 7 * i)
+            at &= np.uint64(BITS - 1)
+            good = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            inside = np.ones(n, bool)
+            for i in range(k):
+                inside[:n - i] &= ids[i:] >= 0
+            x = np.flatnonzero(own[:n - k + 1] & inside[:n - k + 1] & good[:n - k + 1] & good[1:n - k + 2])
+            if not len(x):
                 continue
-            rows, n = _unique([c[keep] for c in cols], len(words) + 1)
-            table = binary([*words, b""])
-            take = [table.take(pa.array(np.where(r < 0, len(words), r), mask=r < 0)) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *take, pa.array(n)],
-                                             names=["lang", *(f"w{i}" for i in range(len(take))), "n"])
+            rows, count = _unique([ids[x + i] for i in range(k)], len(words))
+            table = binary(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(count), pa.string()), *(table.take(pa.array(r)) for r in rows), pa.array(count)],
+                names=["lang", *(f"w{i}" for i in range(k)), "n"])
     return run
 
 
@@ -156,30 +153,25 @@ def _pack(cols: list[np.ndarray], base: int) -> np.ndarray:
 
 
 def _unique(cols: list[np.ndarray], base: int):
-    """Distinct rows of columns of numbers from -1 to base - 2, and their counts."""
+    """Distinct rows of columns of numbers below ``base``, and their counts."""
     if base ** len(cols) >= 1 << 62:
         return np.unique(np.stack(cols), axis=1, return_counts=True)
-    key, n = np.unique(_pack([c + 1 for c in cols], base), return_counts=True)
+    key, n = np.unique(_pack(cols, base), return_counts=True)
     out = []
     for _ in cols:
-        out.append(key % base - 1)
+        out.append(key % base)
         key = key // base
     return out[::-1], n
 
 
-def _subtrees(longest: int):
+def _leaves(k: int, least: int):
     """The suffixes of groups, which arrive sorted by group -> totals of their
-    leaves and inner nodes of two words and more. A group is one table."""
-    names = [f"w{i}" for i in range(longest)]
-
-    def totals(rows: pa.Table):
-        for k in range(longest, 1, -1):
-            by = ["lang", *names[:k]]
-            rows = rows.group_by(by).aggregate([("n", "sum")]).select([*by, "n_sum"]).rename_columns([*by, "n"])
-            whole = rows.filter(pc.is_valid(rows.column(names[k - 1])))
-            for b in whole.to_batches(1 << 16):
-                nulls = [pa.nulls(b.num_rows, pa.binary()) for _ in names[k:]]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *nulls, b.column(k + 1)], names=["lang", *names, "n"])
+    leaves that have ``least`` occurrences. A group is one table."""
+    by = ["lang", *(f"w{i}" for i in range(k))]
+
+    def totals(held):
+        rows = pa.Table.from_batches(held).group_by(by).aggregate([("n", "sum")]).select([*by, "n_sum"])
+        yield from rows.filter(pc.greater_equal(rows.column("n_sum"), least)).rename_columns([*by, "n"]).to_batches(1 << 16)
 
     def run(batches):
         held, at = [], None
@@ -189,12 +181,12 @@ def _subtrees(longest: int):
             for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 if j > i:
                     if at is not None and group[i] != at:
-                        yield from totals(pa.Table.from_batches(held))
+                        yield from totals(held)
                         held = []
                     at = group[i]
                     held.append(pa.RecordBatch.from_arrays(b.slice(i, j - i).columns[1:], names=b.schema.names[1:]))
         if held:
-            yield from totals(pa.Table.from_batches(held))
+            yield from totals(held)
     return run
 
 
@@ -217,47 +209,25 @@ def phrase_counts(df: DataFrame, lang_col: str, text_col: str, longest: int = 3,
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     words = cut(src.mapInArrow(_word_counts, _fields(1)).groupBy("lang", "w0").agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = words.where(F.col("n") >= least)
-    bits = _bitmap(often)
-    # prefixes of more suffixes than the budget, by length and language
-    listed: dict[int, dict[str, list]] = {}
-    names = [f"w{i}" for i in range(longest)]
-    counts = often
-    for k in range(1, longest):
-        if k > 1:
-            shared = spark.sparkContext.broadcast((bits, listed))
-            counts = (src.mapInArrow(_suffixes(longest, shared, k - 1), _fields(k))
-                      .groupBy("lang", *names[:k]).agg(F.sum("n").alias("n")))
-        full = counts.where(F.col("n") > BUDGET).collect()      # at most suffixes / BUDGET rows
-        if not full:
-            break
-        listed[k] = defaultdict(list)
-        for row in full:
-            listed[k][row["lang"]].append(tuple(bytes(row[c]) for c in names[:k]))
-    shared = spark.sparkContext.broadcast((bits, {}))
-    rows = src.mapInArrow(_suffixes(longest, shared), _fields(longest))
-    key, tables = F.array("w0"), {}
-    for k, of in listed.items():
-        some = tables[k] = spark.createDataFrame([(lang, *p, True) for lang, ps in of.items() for p in ps],
-                                     "lang string, " + ", ".join(f"w{i} binary" for i in range(k)) + f", _long{k} boolean")
-        rows = rows.join(F.broadcast(some), ["lang", *names[:k]], "left")
-        key = F.when(F.col(f"_long{k}"), F.array(*names[:k + 1])).otherwise(key)
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // BUDGET))
-    rows = rows.select(F.pmod(F.xxhash64("lang", key), F.lit(groups)).cast("int").alias("g"), "lang", *names, "n")
-    nodes = (rows.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_subtrees(longest), _fields(longest)))
-    # the totals of a listed prefix are spread over groups, all others are whole
-    spread = F.lit(False)
-    for k in range(2, longest):
-        if k in tables:
-            nodes = nodes.join(F.broadcast(tables[k]), ["lang", *names[:k]], "left")
-            spread = spread | (F.col(names[k]).isNull() & F.coalesce(f"_long{k}", F.lit(False)))
-    nodes = nodes.where((F.col("n") >= least) | spread)
-    long = nodes.select("lang", _phrase([F.col(c) for c in names]).alias("phrase"),
-                        sum(F.col(c).isNotNull().cast("int") for c in names).alias("size"), "n")
-    long = long.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    short = often.select("lang", F.col("w0").cast("string").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))
-    return cut(short.unionByName(long)), totals
+    level = words.where(F.col("n") >= least)
+    out = []
+    for k in range(1, longest + 1):
+        names = [f"w{i}" for i in range(k)]
+        if k > 1:
+            shared = spark.sparkContext.broadcast(_bitmap(level, names[:-1]))
+            rows = src.mapInArrow(_suffixes(k, shared), _fields(k))
+            full = level.where(F.col("n") > BUDGET).select("lang", *names[:-1], F.lit(True).alias("full"))
+            prefix = F.xxhash64("lang", *names[:-1])
+            if not full.isEmpty():      # at most suffixes / BUDGET rows
+                rows = rows.join(F.broadcast(full), ["lang", *names[:-1]], "left")
+                prefix = F.when(F.col("full"), F.xxhash64("lang", *names)).otherwise(prefix)
+            rows = rows.select(F.pmod(prefix, F.lit(groups)).cast("int").alias("g"), "lang", *names, "n")
+            level = cut(rows.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_leaves(k, least), _fields(k)))
+        out.append(level.select("lang", F.concat_ws(" ", *[F.col(c).cast("string") for c in names]).alias("phrase"),
+                                F.lit(k).alias("size"), F.col("n").alias("f")))
+    return cut(reduce(DataFrame.unionByName, out)), totals
 
 
 def collocations(df: DataFrame, lang_col: str, text_col: str, longest: int = 3, least: int = 10,

@@ -14,10 +14,19 @@ from corpusforge.session import cut_lineage, ensure_checkpoint_dir, ship_package
 BROADCAST_BYTES = 48 << 20
 
 
+#: Bytes of a batch that goes to Python, where the session leaves Spark's own
+#: value: a batch is held by the JVM, by the worker and as Python objects.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Checkpoint folder and package on the executors; every operator calls it."""
+    """Checkpoint folder, batch size and package on the executors; every operator
+    calls it."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b"):      # Spark's own value
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

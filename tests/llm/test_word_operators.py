@@ -105,7 +105,7 @@ def phrases(docs, longest, least, share, k):
     return Counter(out)
 
 
-@pytest.mark.parametrize("budget, chunk, longest, k", [(2_000_000, 4 << 20, 3, 2000), (20, 90, 3, 40), (60, 500, 4, 2000)])
+@pytest.mark.parametrize("budget, chunk, longest, k", [(500_000, 4 << 20, 3, 2000), (20, 90, 3, 40), (60, 500, 4, 2000)])
 def test_collocations_brute_force(frame, monkeypatch, budget, chunk, longest, k):
     """Small budgets list prefixes of one and more words; small chunks cut texts."""
     monkeypatch.setattr(collocations, "BUDGET", budget)
@@ -157,11 +157,12 @@ def test_move_takes_the_class_of_the_highest_likelihood():
         assert np.array_equal(m, bigrams(cls))
 
 
-@pytest.mark.parametrize("block, chunk, frequent", [(24 << 20, 4 << 20, 16384), (700, 90, 6)])
+@pytest.mark.parametrize("block, chunk, frequent", [(12 << 20, 1 << 20, 8192), (700, 90, 6)])
 def test_class_model_brute_force(frame, monkeypatch, block, chunk, frequent):
     """The learned classes are taken over; counts, bigrams and sums are plain loops."""
     monkeypatch.setattr(brown, "BLOCK", block)
     monkeypatch.setattr(brown, "CHUNK", chunk)
+    monkeypatch.setattr(brown, "STEP", chunk)
     docs, stats = documents(5), []
     got = brown.score(frame(docs, SCHEMA), "doc_id", "text", F.expr(HELD), classes=5, frequent=frequent, sweeps=4, stats=stats)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
