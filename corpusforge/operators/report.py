@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.operators.quantiles import exact_quantiles
 from corpusforge.session import cut_lineage, join_group_stats
 
 
@@ -46,16 +47,15 @@ def histogram(df: DataFrame, col: str, by: str, bins: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by: str, whis: float = 1.5) -> DataFrame:
     """V3: per group Q1, median, Q3 (linear interpolation), whiskers at the
     most extreme values within ``whis * IQR`` (clamped to the quartiles),
-    number of outliers beyond them. Two passes: the quartiles (partial
-    aggregation keeps a value->count map per group), then one pass with the
-    group's quartiles broadcast (size-checked) for whiskers and outliers. A
-    value is beyond a whisker exactly when it is beyond the fence."""
+    number of outliers beyond them. The quartiles are selected by refining
+    ranges of values (constant memory per group, whatever the column), then one
+    pass with the group's quartiles broadcast (size-checked) finds whiskers and
+    outliers. A value is beyond a whisker exactly when it is beyond the fence.
+    Null and NaN values, and the null group, are left out."""
     vals = (df.select(by, F.col(col).cast("double").alias("_x"))
             .where(F.col("_x").isNotNull() & ~F.isnan("_x")))      # NaN is a missing value
-    q = (vals.groupBy(by)
-         .agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-         .select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    q = exact_quantiles(df, col, by, [0.25, 0.5, 0.75]).select(
+        by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     hi_fence = F.col("q3") + whis * iqr
     lo_fence = F.col("q1") - whis * iqr

@@ -248,21 +248,33 @@ FROM b2 GROUP BY model, bin, st, lo, hi
 """
 
 
-_BOX = f"""
-WITH v AS (SELECT model, depth::DOUBLE AS x FROM ({_OUTCOMES}) WHERE depth IS NOT NULL),
-q AS (SELECT model, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
-             quantile_cont(x, 0.75) AS q3 FROM v GROUP BY model),
-w0 AS (SELECT q.model, q1, median, q3,
+def _box_sql(source: str, by: str, col: str, result: str = "box") -> str:
+    """Box statistics of ``col`` per group, or the outlying values."""
+    head = f"""
+WITH v AS (SELECT {by}, {col}::DOUBLE AS x FROM {source} WHERE {col} IS NOT NULL AND {by} IS NOT NULL),
+q AS (SELECT {by}, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM v GROUP BY {by}),
+w0 AS (SELECT q.{by}, q1, median, q3,
               max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END) AS hi,
               min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END) AS lo
-       FROM v JOIN q USING (model) GROUP BY q.model, q1, median, q3),
-w AS (SELECT model, q1, median, q3,
+       FROM v JOIN q USING ({by}) GROUP BY q.{by}, q1, median, q3),
+w AS (SELECT {by}, q1, median, q3,
              CASE WHEN lo IS NULL OR lo > q1 THEN q1 ELSE lo END AS whisker_lo,
-             CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END AS whisker_hi FROM w0)
-SELECT w.model, q1, median, q3, whisker_lo, whisker_hi,
+             CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END AS whisker_hi FROM w0)"""
+    if result == "outliers":
+        return head + f"""
+SELECT {by}, x AS {col} FROM w JOIN v USING ({by}) WHERE x < whisker_lo OR x > whisker_hi"""
+    return head + f"""
+SELECT w.{by}, q1, median, q3, whisker_lo, whisker_hi,
        count(CASE WHEN x < whisker_lo OR x > whisker_hi THEN 1 END) AS n_outliers
-FROM w JOIN v USING (model) GROUP BY w.model, q1, median, q3, whisker_lo, whisker_hi
-"""
+FROM w JOIN v USING ({by}) GROUP BY w.{by}, q1, median, q3, whisker_lo, whisker_hi"""
+
+
+_PRICES = """
+SELECT l_returnflag, count(*) AS n, """ + ", ".join(
+    f"round(quantile_cont(l_extendedprice, {p}), 6) AS {c}"
+    for p, c in ((0.01, "p01"), (0.1, "p10"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99"))) + """
+FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY l_returnflag"""
 
 
 def _reward_sql(generations: bool = False) -> str:
@@ -411,5 +423,8 @@ FROM ({_OUTCOMES})""",
 SELECT model, 'compile_rate' AS metric, compile_rate AS rate FROM ({_SUMMARY})
 UNION ALL SELECT model, 'sim_rate' AS metric, sim_rate AS rate FROM ({_SUMMARY})""",
     "fidelity_hist": _hist_sql(20),
-    "depth_box": _BOX,
+    "depth_box": _box_sql(f"({_OUTCOMES})", "model", "depth"),
+    "value_box": _box_sql("events", "event_type", "value"),
+    "value_outliers": _box_sql("events", "event_type", "value", "outliers"),
+    "price_quantiles": _PRICES,
 }

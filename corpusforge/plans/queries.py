@@ -13,6 +13,7 @@ from corpusforge.operators import report
 from corpusforge.operators.dedup import exact_dedup, near_dedup
 from corpusforge.operators.extract import (extract_function_rows, quarantined_files,
                                            valid_functions)
+from corpusforge.operators.quantiles import exact_quantiles
 from corpusforge.operators.formats import chat_rows, instruction_rows
 from corpusforge.operators.tasks import (REJECTED, difficulty, difficulty_counts, keyword_filter,
                                          number_functions, preference_rows, task_rows)
@@ -363,6 +364,22 @@ def q_depth_box(spark, sf):
     return report.box_stats(o, "depth", "model")
 
 
+def q_value_box(spark, sf):
+    """V3 over a continuous column."""
+    return report.box_stats(dv.table(spark, sf, "events"), "value", "event_type")
+
+
+def q_value_outliers(spark, sf):
+    return report.box_outliers(dv.table(spark, sf, "events"), "value", "event_type")
+
+
+def q_price_quantiles(spark, sf):
+    """Exact tails of a continuous column: 1 %, 10 %, 50 %, 90 %, 99 %."""
+    q = exact_quantiles(dv.table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", [0.01, 0.1, 0.5, 0.9, 0.99])
+    return q.select("l_returnflag", "n", *[F.bround(F.col("q")[i], 6).alias(c)
+                                           for i, c in enumerate(("p01", "p10", "p50", "p90", "p99"))])
+
+
 QUERIES = {
     "dedup_exact": q_dedup_exact,
     "dedup_near": q_dedup_near,
@@ -403,4 +420,7 @@ QUERIES = {
     "rates_long": q_rates_long,
     "fidelity_hist": q_fidelity_hist,
     "depth_box": q_depth_box,
+    "value_box": q_value_box,
+    "value_outliers": q_value_outliers,
+    "price_quantiles": q_price_quantiles,
 }
