@@ -39,8 +39,9 @@ from corpusforge.llm.common import cut, ready, slices
 from corpusforge.llm.words import Numbers, binary, parts
 from corpusforge.session import bucketed_table
 
-BLOCK = 24 << 20        # bytes of text that share a word list
-CHUNK = 4 << 20         # bytes of text split at a time
+BLOCK = 12 << 20        # bytes of text that share a word list
+CHUNK = 1 << 20         # bytes of text split at a time
+STEP = 1 << 19          # tokens of a block looked at at a time
 ENTRIES = 1 << 15       # neighbour counts of rare words weighed at a time
 END = b""               # the end of a text; no word is empty
 
@@ -76,15 +77,17 @@ def _blocks(kind: pa.DataType):
 
         def flush(s):
             numbers, ids, rows, held, size, toks, _ = s
-            tok = np.concatenate(toks).astype(np.int32)
-            part = np.repeat(np.arange(len(size)), np.array(size) + 1)
-            first = np.r_[True, part[1:] != part[:-1]]
-            learn = ~first & ~np.array(held)[part]
-            n = np.bincount(tok[learn], minlength=len(numbers)).astype(np.int32)
+            n = np.zeros(len(numbers), np.int32)
+            for tok, h in zip(toks, held):
+                if not h:
+                    np.add.at(n, tok[1:], 1)
+            tok = np.concatenate(toks)
+            # numbers are in order of appearance, so most fit in two bytes
+            low, high = np.minimum(tok, 65535).astype("<u2"), tok[tok >= 65535]
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), _list(pa.array(ids, kind)), _list(np.array(rows, np.int64)), _list(pa.array(held)),
-                 _list(np.array(size, np.int32)), _list(tok), _list(binary(numbers)), _list(n)],
-                names=["block", "ids", "rows", "held", "size", "toks", "words", "n"])
+                 _list(np.array(size, np.int32)), binary([low.tobytes()]), _list(high), _list(binary(numbers)), _list(n)],
+                names=["block", "ids", "rows", "held", "size", "low", "high", "words", "n"])
 
         state = fresh()
         for batch in (s for b in batches for s in slices(b, 2, CHUNK)):
@@ -102,7 +105,7 @@ def _blocks(kind: pa.DataType):
                     rows.append(row)
                     held.append(h)
                     size.append(len(words))
-                    toks.append(numbers.of([before, *words]))
+                    toks.append(numbers.of([before, *words]).astype(np.int32))
                     before = words[-1]
                     state = (*state[:-1], total + len(piece) + 64)
                     if state[-1] >= BLOCK:
@@ -117,14 +120,16 @@ def _blocks(kind: pa.DataType):
 
 def _pairs(batch: pa.RecordBatch, i: int, learn_only: bool):
     """Numbers of the tokens before, the tokens, and the part of each token, of
-    row ``i``; with ``learn_only`` those of training texts."""
+    row ``i`` in runs of at most ``STEP``; with ``learn_only`` of training texts."""
     col = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-    tok, size, held = col("toks"), col("size"), col("held")
-    part = np.repeat(np.arange(len(size)), size + 1)
-    at = np.flatnonzero(np.r_[False, part[1:] == part[:-1]])
-    if learn_only:
-        at = at[~held[part[at]].astype(bool)]
-    return tok[at - 1], tok[at], part[at]
+    size, held = col("size"), col("held").astype(bool)
+    tok = np.frombuffer(batch.column("low")[i].as_py(), "<u2").astype(np.int32)
+    tok[tok == 65535] = col("high")
+    part = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    at = np.flatnonzero(np.r_[False, part[1:] == part[:-1]] & ~(learn_only & held)[part]).astype(np.int32)
+    for s in range(0, len(at), STEP):
+        x = at[s:s + STEP]
+        yield tok[x - 1], tok[x], part[x]
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -153,13 +158,13 @@ def _contexts(shared, k: int):
                 own = _numbers_of(batch.column("words")[i].values, numbers)
                 cls = classes[own]      # the last one stands for all other words
                 cls[0] = k + 1
-                a, b, _ = _pairs(batch, i, True)
-                bigrams += np.bincount(cls[a] * g + cls[b], minlength=g * g)
-                x = own[b] >= 0
-                acc += np.bincount(own[b][x] * 2 * g + cls[a][x], minlength=len(acc))
-                x = own[a] >= 0
-                acc += np.bincount(own[a][x] * 2 * g + g + cls[b][x], minlength=len(acc))
-                double += np.bincount(own[a][x & (own[a] == own[b])], minlength=m)
+                for a, b, _ in _pairs(batch, i, True):
+                    bigrams += np.bincount(cls[a] * g + cls[b], minlength=g * g)
+                    x = own[b] >= 0
+                    acc += np.bincount(own[b][x] * 2 * g + cls[a][x], minlength=len(acc))
+                    x = own[a] >= 0
+                    acc += np.bincount(own[a][x] * 2 * g + g + cls[b][x], minlength=len(acc))
+                    double += np.bincount(own[a][x & (own[a] == own[b])], minlength=m)
         v = np.c_[acc.reshape(m, 2 * g), double]
         some = np.flatnonzero(v.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -240,12 +245,13 @@ def _rare_contexts(shared, k: int):
                 own = _numbers_of(words, numbers)
                 cls = classes[own]      # the last one stands for all other words
                 cls[0] = k + 1
-                a, b, _ = _pairs(batch, i, True)
                 rare = own < 0
                 rare[0] = False
-                x, y = rare[b], rare[a]
-                key, n = np.unique(np.r_[b[x] * np.int64(2 * g) + cls[a][x], a[y] * np.int64(2 * g) + g + cls[b][y]],
-                                   return_counts=True)
+                keys = []
+                for a, b, _ in _pairs(batch, i, True):
+                    x, y = rare[b], rare[a]
+                    keys += [b[x] * np.int64(2 * g) + cls[a][x], a[y] * np.int64(2 * g) + g + cls[b][y]]
+                key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
                 if not len(key):
                     continue
                 packed = np.empty(len(key), _PAIR)
@@ -266,10 +272,8 @@ def _rare_moves(shared, k: int):
     a class changes at the word's own neighbours only."""
     g = k + 2
 
-    def best(group, at, n, words):
-        m = shared.value.astype(np.float64)
-        base = np.concatenate([m[:, :k + 1], m[:k + 1].T])      # row: neighbour's side and class; column: class
-        was, rows, cols = _f(base), m.sum(1)[:k + 1], m.sum(0)[:k + 1]
+    def best(tables, group, at, n, words):
+        base, was, rows, cols, near, size = tables
         key, inv = np.unique(group * (2 * g) + at, return_inverse=True)
         n = np.bincount(inv, weights=n)
         group, at = key // (2 * g), key % (2 * g)
@@ -277,18 +281,33 @@ def _rare_moves(shared, k: int):
         for s in range(0, len(key), ENTRIES):
             x = slice(s, s + ENTRIES)
             first = np.flatnonzero(np.r_[True, np.diff(group[x]) != 0])
-            gain[group[x][first]] += np.add.reduceat(_f(base[at[x]] + n[x, None]) - was[at[x]], first)
+            delta = near[np.minimum(n[x], len(near) - 1).astype(np.int64), at[x]]
+            big = n[x] >= len(near)
+            delta[big] = _f(base[at[x][big]] + n[x][big, None]) - was[at[x][big]]
+            gain[group[x][first]] += np.add.reduceat(delta, first)
         c = np.bincount(group[at >= g], weights=n[at >= g], minlength=words)
         for s in range(0, words, ENTRIES):
             x = slice(s, s + ENTRIES)
-            gain[x] -= _f(cols + c[x, None]) - _f(cols) + _f(rows + c[x, None]) - _f(rows)
+            loss = size[np.minimum(c[x], len(size) - 1).astype(np.int64)]
+            big = c[x] >= len(size)
+            loss[big] = _f(cols + c[x][big, None]) - _f(cols) + _f(rows + c[x][big, None]) - _f(rows)
+            gain[x] -= loss
         return c.astype(np.int64), gain.argmax(1).astype(np.int32)
 
+    def prepared():
+        """The class bigrams next to each neighbour, and what small counts change."""
+        m = shared.value.astype(np.float64)
+        base = np.concatenate([m[:, :k + 1], m[:k + 1].T])      # row: neighbour's side and class; column: class
+        was, rows, cols = _f(base), m.sum(1)[:k + 1], m.sum(0)[:k + 1]
+        return (base, was, rows, cols, np.stack([_f(base + i) - was for i in range(9)]),
+                np.stack([_f(cols + i) - _f(cols) + _f(rows + i) - _f(rows) for i in range(65)]))
+
     def run(batches):
+        tables = prepared()
         word, at, n = [], np.empty(0, np.int64), np.empty(0)     # the last word may go on in the next batch
 
         def done(words, group, at, n):
-            c, cls = best(group, at, n, len(words))
+            c, cls = best(tables, group, at, n, len(words))
             return pa.RecordBatch.from_arrays([binary(words), pa.array(c), pa.array(cls)], names=["word", "c", "cls"])
 
         for batch in batches:
@@ -334,13 +353,13 @@ def _class_bigrams(k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 c, cls = _local(batch, i, g - 1)
-                a, b, _ = _pairs(batch, i, True)
-                x, y = cls[a], cls[b]
-                m += np.bincount(x * g + y, minlength=g * g)
-                once = c[b] == 1
-                m += np.bincount(x[once] * g + g - 1, minlength=g * g)
-                once = c[a] == 1
-                m += np.bincount((g - 1) * g + y[once], minlength=g * g)
+                for a, b, _ in _pairs(batch, i, True):
+                    x, y = cls[a], cls[b]
+                    m += np.bincount(x * g + y, minlength=g * g)
+                    once = c[b] == 1
+                    m += np.bincount(x[once] * g + g - 1, minlength=g * g)
+                    once = c[a] == 1
+                    m += np.bincount((g - 1) * g + y[once], minlength=g * g)
         at = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["at", "n"])
     return run
@@ -358,14 +377,15 @@ def _scores(shared):
                 c, cls = _local(batch, i, g - 1)
                 word = np.where(cls < g - 1, np.log10((c + 1) / np.maximum(sizes[cls], 1)), 0.0)
                 base = np.log10((c + 1) / (tokens + 1 * (types + 1)))
-                a, b, part = _pairs(batch, i, False)
-                first = np.flatnonzero(np.r_[True, np.diff(part) != 0])
-                add = lambda x: pa.array(np.add.reduceat(x, first))
                 col = lambda name: batch.column(name)[i].values
-                yield pa.RecordBatch.from_arrays(
-                    [col("rows"), col("ids"), col("held"), add(np.ones(len(b), np.int64)), add((c[b] > 0).astype(np.int64)),
-                     add(base[b]), add(step[cls[a], cls[b]] + word[b])],
-                    names=["row", "id", "held", "n_tokens", "n_known", "base", "score"])
+                for a, b, part in _pairs(batch, i, False):
+                    first = np.flatnonzero(np.r_[True, np.diff(part) != 0])
+                    add = lambda x: pa.array(np.add.reduceat(x, first))
+                    own = pa.array(part[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [col("rows").take(own), col("ids").take(own), col("held").take(own), add(np.ones(len(b), np.int64)),
+                         add((c[b] > 0).astype(np.int64)), add(base[b]), add(step[cls[a], cls[b]] + word[b])],
+                        names=["row", "id", "held", "n_tokens", "n_known", "base", "score"])
     return run
 
 
@@ -377,11 +397,11 @@ def encode(df: DataFrame, id_col: str, text_col: str, held, made: list[str]) ->
     from pyspark.sql.pandas.types import to_arrow_type
     blocks = src.mapInArrow(_blocks(to_arrow_type(src.schema["id"].dataType)),
                             f"block long, ids array<{kind}>, rows array<long>, held array<boolean>, size array<int>, "
-                            "toks array<int>, words array<binary>, n array<int>")
-    return bucketed_table(blocks, "block", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lm-blocks", made)
+                            "low binary, high array<int>, words array<binary>, n array<int>")
+    return bucketed_table(blocks, "block", _buckets(df), "lm-blocks", made)
 
 
-def train(blocks: DataFrame, classes: int = 64, frequent: int = 16384, sweeps: int = 5) -> Model:
+def train(blocks: DataFrame, classes: int = 64, frequent: int = 8192, sweeps: int = 4) -> Model:
     """Learn the classes of all words of the training texts."""
     spark = blocks.sparkSession
     k = classes
@@ -392,8 +412,8 @@ def train(blocks: DataFrame, classes: int = 64, frequent: int = 16384, sweeps: i
     numbers = {bytes(r["word"]): i for i, r in enumerate(top)}
     now = np.arange(len(top)) % k
     seen, tried = [], []
-    parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = blocks.select("held", "size", "toks", "words")
+    parts_ = _buckets(blocks)
+    read = blocks.select("held", "size", "low", "high", "words")
     for _ in range(max(sweeps, 1)):
         shared = spark.sparkContext.broadcast((numbers, np.r_[now, k]))
         sums = cut(read.mapInArrow(_contexts(shared, k), "w int, v binary").repartition(parts_, "w")
@@ -419,14 +439,20 @@ def train(blocks: DataFrame, classes: int = 64, frequent: int = 16384, sweeps: i
     return Model(words, tokens or 0, types, k, np.zeros((k + 3, k + 3), np.int64), seen)
 
 
-def lookup(blocks: DataFrame, model: Model) -> DataFrame:
-    """``(block, known)``: place, count and class of the known words of a block."""
-    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(model.words, "word")
-    return cut(pairs.groupBy("block").agg(F.collect_list(F.struct("i", "c", "cls")).alias("known")))
+def lookup(blocks: DataFrame, model: Model, made: list[str]) -> DataFrame:
+    """``(block, known)``: place, count and class of the known words of a block,
+    written as a table bucketed like the blocks."""
+    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(model.words, "word").drop("word")
+    return bucketed_table(pairs.repartition(_buckets(blocks), "block").groupBy("block").agg(
+        F.collect_list(F.struct("i", "c", "cls")).alias("known")), "block", _buckets(blocks), "lm-known", made)
+
+
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def score(df: DataFrame, id_col: str, text_col: str, held, classes: int = 64, frequent: int = 16384,
-          sweeps: int = 5, prior: float = 10.0, stats: list | None = None) -> DataFrame:
+def score(df: DataFrame, id_col: str, text_col: str, held, classes: int = 64, frequent: int = 8192,
+          sweeps: int = 4, prior: float = 10.0, stats: list | None = None) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
     one row per row of ``df``. ``held``: a condition; rows that meet it are scored
     but not learned from. Words are runs of bytes other than \\x20 and \\x09-\\x0D,
@@ -439,9 +465,9 @@ def score(df: DataFrame, id_col: str, text_col: str, held, classes: int = 64, fr
     made: list[str] = []
     blocks = encode(df, id_col, text_col, F.coalesce(held, F.lit(False)), made)
     model = train(blocks, classes, frequent, sweeps)
-    known = lookup(blocks, model)
+    known = lookup(blocks, model, made)
     g = classes + 3
-    both = lambda *cols: blocks.select("block", "held", "size", "toks", "words", *cols).join(known, "block", "left").drop("block")
+    both = lambda *cols: blocks.select("block", "held", "size", "low", "high", "words", *cols).join(known, "block", "left").drop("block")
     for at, n in both().mapInArrow(_class_bigrams(classes), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
         model.bigrams[at // g, at % g] = n      # at most g * g rows
     sizes = np.zeros(g, np.int64)
