@@ -85,7 +85,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     single = [r for i, r in enumerate(kept) if group[i] == i]
     assert len(single) < len(kept)
     cut = []
-    for r, gone in zip(single, brute.repeated([(r[1] or "").encode() for r in single], 400)):
+    for r, gone in zip(single, brute.repeated([(r[1] or "").encode() for r in single], cp.PASSAGE_BYTES)):
         left, at = [], 0
         for c in r[1] or "":
             size = len(c.encode())
