@@ -17,7 +17,10 @@ semantics: elements whose tag, role or class names a menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comments have
 importance 0; what an ``article`` or ``main`` holds besides has importance 1,
 and if a page has such an element the rest of the page has 0. The entropies
-decide for pages without one.
+decide for pages without one, and inside an article for elements whose class
+only begins with a furniture word and goes on with another (``social-history``).
+If the only articles of a page stand in furniture that just a compound class
+(``top-banner-wrap``) or a ``form`` tells, these wrappers count as plain elements.
 
 Counts are merged inside a task and then by Spark's aggregates, so a host with
 many pages is never gathered. Low-importance paths of a host go to its pages by
@@ -51,6 +54,12 @@ FURNITURE = set("ad ads adv advert adverts advertisement advertising banner brea
                 "consent cookie cookies discussion disqus footer gdpr header masthead menu menus modal nav navbar "
                 "navigation newsletter notice notices overlay popup promo promotion related replies respond share "
                 "sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: First parts of a compound class that name a state of the page, not the element's kind.
+STATES = set("has hide is no not show with without".split())
+#: Parts that say nothing of what an element holds, and those of a header that is the site's.
+PLAIN = set("area bar block body box button buttons container content form group icon icons inline inner item items link "
+            "links list outer panel post posts row section signup slot stories top unit wrap wrapper zone".split())
+SITE = set("app global main menu nav navigation site top".split())
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
@@ -58,55 +67,105 @@ SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
          "th": {"table"}, "option": {"select"}, "optgroup": {"select"}}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-                 r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+                 r"((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-class Node:
-    """An element of the page's block tree. ``parts``: text and child nodes."""
-
-    __slots__ = ("tag", "path", "furniture", "parts", "names")
+#: How far an element is furniture: not at all; as the host's entropies say;
+#: yes, unless it holds the page's only articles; yes.
+PLAIN_KIND, DOUBTFUL, WRAPPING, CERTAIN = range(4)
 
-    def __init__(self, tag: str, path: int, furniture: bool, names: str = ""):
-        self.tag, self.path, self.furniture, self.names, self.parts = tag, path, furniture, names, []
 
+class Node:
+    """An element of the page's block tree. ``parts``: text and child nodes."""
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
+    __slots__ = ("tag", "path", "kind", "parts", "names")
+
+    def __init__(self, tag: str, path: int, kind: int = PLAIN_KIND, names: str = ""):
+        self.tag, self.path, self.kind, self.names, self.parts = tag, path, kind, names, []
+
+    @property
+    def furniture(self) -> bool:
+        return self.kind >= WRAPPING
+
+
+def _word_kind(word: str, in_article: bool) -> int:
+    if word in FURNITURE:
+        return CERTAIN
+    first, *rest = re.split(r"[-_]+", word)
+    if not rest or first in STATES:
+        return PLAIN_KIND
+    last = rest[-1]
+    if not in_article:
+        return WRAPPING if first in FURNITURE or last in FURNITURE else PLAIN_KIND
+    if last in ("header", "masthead"):      # an article's sections have headers of their own
+        return CERTAIN if first in SITE or first in FURNITURE else PLAIN_KIND
+    if last in FURNITURE:
+        return CERTAIN
+    if first in FURNITURE:
+        return CERTAIN if all(x in PLAIN or x in FURNITURE for x in rest) else DOUBTFUL
+    return PLAIN_KIND
+
+
+def _furniture(tag: str, attrs: str, in_article: bool) -> tuple[int, str]:
+    if tag == "form":
+        return WRAPPING, ""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True, ""
-    names = ""
+        return CERTAIN, ""
+    kind, names = PLAIN_KIND, ""
     for m in ATTR.finditer(attrs) if attrs else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in FURNITURE_ROLES:
-                return True, value
+                return CERTAIN, value
             continue
         names += " " + value
-        if tag in ("html", "body", "article", "main", "h1"):
-            continue
-        for word in value.split():
-            ends = re.split(r"[-_]+", word)
-            if word in FURNITURE or ends[0] in FURNITURE or ends[-1] in FURNITURE:
-                return True, names
-    return False, names
+        if tag not in ("html", "body", "article", "main", "h1"):
+            kind = max([kind, *(_word_kind(x, in_article) for x in value.split())])
+            if kind == CERTAIN:
+                break
+    return kind, names
+
+
+class _Stack:
+    """The open elements, and where those of each tag stand: finding the
+    nearest one of a tag does not walk the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(node.tag)
+        self.nodes.append(node)
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, k: int) -> None:
+        while len(self.nodes) > k:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def in_article(self) -> bool:
+        return bool(self.at.get("article") or self.at.get("main"))
 
 
 def parse(page: str) -> Node:
-    """Block tree of a page. Any input gives a tree: unclosed elements end with
-    their container, stray end tags are ignored, inline tags vanish."""
-    root = Node("", 0, False)
-    stack = [root]
-    articles, at, n = 0, 0, len(page)
+    """Block tree of a page. Any input gives a tree, in time about linear in its
+    length: unclosed elements end with their container, stray end tags are
+    ignored, inline tags vanish."""
+    root = Node("", 0)
+    stack = _Stack(root)
+    at, n = 0, len(page)
 
     def text(s: str) -> None:
         if s:
-            stack[-1].parts.append(s)
-
-    def close(k: int) -> None:
-        nonlocal articles
-        for node in stack[k:]:
-            articles -= node.tag in ("article", "main")
-        del stack[k:]
+            stack.nodes[-1].parts.append(s)
 
     while at < n:
         m = TAG.search(page, at)
@@ -118,48 +177,32 @@ def parse(page: str) -> Node:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag == "br":
+            text(" ")
         if m[1]:
-            if tag == "br":
-                text(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if k := stack.nearest((tag,)):
+                stack.close(k)
             continue
         if tag == "br":
-            text(" ")
             continue
-        if tag == "body":       # a head that was not closed ends here
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "head":
-                    close(k)
-                    break
+        if tag == "body" and (k := stack.nearest(("head",))):   # a head that was not closed ends here
+            stack.close(k)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = n if not end else page.find(">", end.end() - 1) + 1 or n
             continue
-        away, names = _furniture(tag, m[3], articles > 0)
-        if tag not in BLOCK and not away:
+        kind, names = _furniture(tag, m[3], stack.in_article())
+        if tag not in BLOCK and kind < WRAPPING:
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):      # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE[tag]:
-                    break
-        node = Node(tag, hash_of(f"{stack[-1].path}>{tag}{names}"), away, names)
-        stack[-1].parts.append(node)
+        if tag in BLOCK and stack.blocks and stack.blocks[-1] == "p":   # a block ends an open paragraph
+            stack.close(stack.nearest(("p",)))
+        if tag in CLOSES and (k := stack.nearest(CLOSES[tag])) > stack.nearest(SCOPE[tag]):
+            stack.close(k)
+        node = Node(tag, hash_of(f"{stack.nodes[-1].path}>{tag}{names}"), kind, names)
+        stack.nodes[-1].parts.append(node)
         if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
-            stack.append(node)
-            articles += tag in ("article", "main")
+            stack.push(node)
+    _open_wrappers(root)
     return root
 
 
@@ -178,12 +221,33 @@ def _has_article(root: Node) -> bool:
     return False
 
 
+def _open_wrappers(root: Node) -> None:
+    """If all articles of a page stand in furniture, wrappers around them that
+    are furniture by a compound class or as a form become plain elements.
+    Articles that are themselves comments, teasers or the like do not count."""
+    if _has_article(root):
+        return
+    todo: list = [(root, None)]
+    while todo:
+        node, above = todo.pop()
+        if node.tag in ("article", "main") and not FURNITURE & set(node.names.split()):
+            while above and above[0].kind == WRAPPING:
+                above[0].kind = PLAIN_KIND
+                above = above[1]
+        if node.kind == CERTAIN:
+            continue
+        if node.kind == WRAPPING:
+            above = (node, above)
+        todo += [(x, above) for x in node.parts if isinstance(x, Node)]
+
+
 def main_text(root: Node, low: frozenset = frozenset()) -> str:
     """Blocks of the important branches, in page order, joined by newlines. If
-    nothing is left without the branches ``low``, they stay."""
+    nothing is left without the branches ``low``, they stay. In an article
+    only doubtful elements can be low branches."""
     only = _has_article(root)
     blocks = _blocks(root, low, only)
-    return "\n".join(blocks or (_blocks(root, frozenset(), only) if low and not only else ()))
+    return "\n".join(blocks or (_blocks(root, frozenset(), only) if low else ()))
 
 
 def _blocks(root: Node, low: frozenset, only: bool) -> list[str]:
@@ -206,7 +270,7 @@ def _blocks(root: Node, low: frozenset, only: bool) -> list[str]:
                 run.append(x)
         elif not x.furniture:
             mine = only and x.tag in ("article", "main")
-            if not mine and not only and x.path in low and x.tag not in ("", "html", "body"):
+            if (not only or x.kind == DOUBTFUL) and x.path in low and x.tag not in ("", "html", "body"):
                 flush()
                 continue
             flush()
@@ -298,7 +362,10 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
     Blocks of the main text in page order, joined by newlines; character
     references are decoded and white space inside a block becomes one space.
     Null, empty and text-free pages have empty text. A null url has the empty
-    host. Copies count as one page of their host and give equal rows."""
+    host. Copies count as one page of their host and give equal rows, and rows
+    that repeat an id are judged one by one. A page of any length or depth is
+    parsed whole, in time about linear in its length. Other columns of ``df`` are
+    not read, so their names cannot clash."""
     ready(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
                     host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
