@@ -67,7 +67,8 @@ def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, weights=(1,
 
     ``size`` counts words; null and empty texts have 0. A null source is a
     source. Null ids are ranked like an empty id. Rows that share an id and a
-    size are interchangeable, so reruns agree on the multiset of results. A
+    size are interchangeable, or ordered by their text's hash if columns are kept,
+    so reruns agree on the multiset of results. A
     source without words has target 0 and no copies. Columns of any other name
     are ignored unless kept, and then cannot clash."""
     ready(df.sparkSession)
@@ -75,11 +76,11 @@ def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, weights=(1,
         F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"),
         F.col(source_col).isNull().alias("_null"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        *([F.struct(*keep).alias("row")] if keep else []))
+        *([F.struct(*keep).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("_tie")] if keep else []))
     bits = F.length(F.bin("_size"))
     src = src.withColumn("_class", bits * 32 + F.call_function(
         "shiftright", F.col("_size"), F.greatest(bits - 4, F.lit(0))).cast("int"))
-    thin = cut(src.drop("row"))
+    thin = cut(src.drop("row", "_tie"))
     n_blocks = max(1, -int(-(thin.count() ** 0.5) // 1))
     block = F.pmod(_digest(F.coalesce(F.col("_id").cast("string"), F.lit("")), 8), F.lit(n_blocks)).alias("_block")
     rows = (src if keep else thin).select("*", block)
@@ -93,7 +94,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, weights=(1,
         Window.partitionBy(*KEY[:3]).orderBy("_block").rowsBetween(*before)), F.lit(0)).alias("_b0"))
              .join(classes, KEY[:3]).join(goal, KEY[:2])
              .select(*KEY, (F.col("_c0") + F.col("_b0")).alias("_start"), "source_size", "target"))
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*KEY).orderBy("_size", "_id"))
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*KEY).orderBy("_size", "_id", *(["_tie"] if keep else [])))
     u = _digest(F.concat(F.lit(seed), F.when(F.col("_null"), "0").otherwise("1"), F.col("_src")), 5) / F.lit(1048576.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     out = rows.join(start, KEY).withColumn("_rank", rank).withColumn("_rate", rate).withColumn("_u", u)
