@@ -11,8 +11,16 @@ rules consist of are left out, as they only repeat the list.
 
 Both verdicts are classes. Of the rules that fire on a url the one of highest
 confidence decides, then of highest support, then of fewest tokens, then allow.
-A rule that contains a smaller one ranked before it never decides and is
-dropped.
+A rule that contains a smaller one ranked before it never decides.
+
+That is used before mining, so that long urls do not make item sets without
+number; no rule that can decide is lost:
+- a token of one verdict only has confidence 1, which no larger rule with it can
+  pass, so it is a rule by itself and leaves the sets;
+- tokens that stand in exactly the same labelled urls make the same rules, so
+  they are mined as one item, which a url has if it has any of them;
+- a token below the least support, or in every labelled url, adds nothing.
+FP-growth combines what is left.
 
 Matching: the urls to decide are reduced to their distinct token sets (a hot
 set is pre-aggregated), the rules to an index from token to rule; a set fires
@@ -76,33 +84,65 @@ def list_tokens(rules) -> list[str]:
     return sorted(out)
 
 
-def mine(sets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """``sets``: ``(items)`` of the labelled urls, the verdict among them.
-    ``(rule, tokens, n, verdict, rank)``: the rules that can decide."""
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
+def mine(sets: DataFrame, min_support: float, min_confidence: float, least_urls: int) -> DataFrame:
+    """``sets``: ``(_set, verdict)`` of the labelled urls. ``(rule, n, verdict,
+    rank, item, token)``: the index of the rules that can decide. A url fires a
+    rule if it has tokens of all of the rule's ``n`` items."""
+    sets = cut(sets.withColumn("_row", F.monotonically_increasing_id()))
+    total = sets.count()
+    least = max(least_urls, -int(-(min_support * total) // 1))
+    share = sets.groupBy("verdict").agg((F.count(F.lit(1)) / F.lit(total)).alias("share"))
+    posts = sets.select("_row", "verdict", F.explode("_set").alias("token"))
+    tokens = cut(posts.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "allow").alias("n_allow"),
+        F.bit_xor(F.xxhash64("_row")).alias("mark")).where((F.col("n") >= least) & (F.col("n") < total)))
+    mixed = tokens.where("n_allow > 0 and n_allow < n")
+    # tokens of one mark and count are one item, once it is seen that they meet in all their urls
+    item = mixed.groupBy("mark", "n").agg(F.min("token").alias("item"))
+    items = mixed.join(item, ["mark", "n"]).select("token", "item", "n")
+    held = cut(posts.join(items, "token").select("_row", "token", "item", "n"))
+    apart = (held.alias("a").join(held.where("token = item").alias("b"),
+                                  F.expr("a._row = b._row and a.item = b.item"), "left")
+             .where("b._row is null").select("a.token").distinct().withColumn("apart", F.lit(True)))
+    items = cut(items.join(apart, "token", "left")
+                .select("token", F.when(F.col("apart"), F.col("token")).otherwise(F.col("item")).alias("item")))
+    left = held.select("_row", "token").join(items, "token").groupBy("_row").agg(F.collect_set("item").alias("items"))
+    baskets = (sets.join(left, "_row", "left").select(F.array_append(
+        F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(LABEL), "verdict")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence).fit(baskets)
     verdict = F.element_at("consequent", 1)
-    rules = cut(model.associationRules.where(verdict.startswith(LABEL) & (F.col("lift") > 1))
-                .where(~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-                .select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n"),
-                        F.substr(verdict, F.lit(len(LABEL) + 1)).alias("verdict"), "confidence", "support"))
-    rules = rules.select(
-        F.xxhash64("tokens", "verdict").alias("rule"), "tokens", "n", "verdict",
-        F.struct("confidence", "support", (-F.col("n")).alias("few"), (F.col("verdict") == "allow").alias("allow"))
+    several = (model.associationRules.where(verdict.startswith(LABEL) & (F.col("lift") > 1))
+               .where(~F.exists("antecedent", lambda x: x.startswith(LABEL)))
+               .select(F.array_sort("antecedent").alias("items"),
+                       F.substr(verdict, F.lit(len(LABEL) + 1)).alias("verdict"), "confidence", "support"))
+    alone = (tokens.where("n_allow = 0 or n_allow = n")
+             .select(F.array("token").alias("items"), F.when(F.col("n_allow") > 0, "allow").otherwise("block").alias("verdict"),
+                     F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(total)).alias("support"), F.col("token").alias("only")))
+    alone = alone.join(share, "verdict").where("share < 1").drop("share")
+    rules = cut(several.withColumn("only", F.lit(None).cast("string")).unionByName(alone)).select(
+        F.xxhash64("items", "verdict").alias("rule"), "items", F.size("items").alias("n"), "verdict", "only",
+        F.struct("confidence", "support", (-F.size("items")).alias("few"), (F.col("verdict") == "allow").alias("allow"))
         .alias("rank"))
-    # confidence is not monotone, so all smaller rules are tried
-    index = rules.select("rule", "n", "rank", F.explode("tokens").alias("token"))
-    parts = (index.alias("a").join(index.alias("b"), "token").where("a.n > b.n and a.rank < b.rank")
-             .groupBy(F.col("a.rule").alias("rule"), F.col("b.rule").alias("part"), F.col("b.n").alias("n"))
-             .count().where("count = n").select("rule").distinct())
-    return rules.join(parts, "rule", "left_anti")
+    # a rule behind one of those with an item less never decides; larger gaps are left to the ranking
+    less = rules.where("n > 1").select("rule", "rank", F.explode(F.transform(
+        "items", lambda x: F.array_remove("items", x))).alias("part"))
+    beaten = (less.alias("a").join(rules.alias("b"), F.expr("a.part = b.items and a.rank < b.rank"))
+              .select("a.rule").distinct())
+    rules = rules.join(beaten, "rule", "left_anti").select("rule", "n", "verdict", "rank", "only", F.explode("items").alias("item"))
+    return (rules.where("only is null").drop("only").join(items, "item")
+            .unionByName(rules.where("only is not null").select("rule", "n", "verdict", "rank", "item", F.col("only").alias("token"))))
 
 
 def judge(df: DataFrame, id_col: str, url_col: str, rules, min_support: float = 0.01,
-          min_confidence: float = 0.9) -> DataFrame:
+          min_confidence: float = 0.9, least_urls: int = 2) -> DataFrame:
     """One row per row of ``df``: ``(id_col, host, path, rule, verdict,
     mined)``; ``mined`` is true if an association rule gave another verdict than
     allow. Without a fitting rule of either kind the verdict is allow. A null url, or one
-    without ``://``, has empty host and path and no tokens but its query's."""
+    without ``://``, has empty host and path and no tokens but its query's.
+    A rule counts if it is seen on ``min_support`` of the labelled urls and on
+    ``least_urls`` of them. Repeated rows count as often as they stand there. Urls
+    of any length are judged whole. Other columns of ``df`` are not read, so their
+    names cannot clash."""
     ready(df.sparkSession)
     url = F.col(url_col).cast("string")
     base = df.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"),
@@ -111,16 +151,15 @@ def judge(df: DataFrame, id_col: str, url_col: str, rules, min_support: float =
     tokens = F.filter(tokens_of(F.col("_url"), F.col("host"), F.col("path")), lambda x: ~x.isin(own))
     base = base.select("_id", "host", "path", tokens.alias("_set"),
                        listed(F.col("host"), F.col("path"), rules).alias("_hit"))
-    label = F.concat(F.lit(LABEL), F.col("_hit.verdict"))
-    seen = base.where("_hit is not null").select(F.array_append("_set", label).alias("items"))
+    seen = base.where("_hit is not null").select("_set", F.col("_hit.verdict").alias("verdict"))
     if seen.isEmpty():
         fired = base.select("_set", F.lit("").alias("_mined")).where(F.lit(False))
     else:
-        found = cut(mine(seen, min_support, min_confidence))
-        size = found.agg(F.sum(96 * F.col("n"))).first()[0] or 0
-        index = found.select("rule", "n", "verdict", "rank", F.explode("tokens").alias("token"))
+        index = cut(mine(seen, min_support, min_confidence, least_urls))
+        size = index.agg(F.sum(2 * F.length("token") + 2 * F.length("item") + 128)).first()[0] or 0
         sets = base.where("_hit is null").select("_set").distinct()
         fired = (join_checked(sets.select("_set", F.explode("_set").alias("token")), index, "token", "inner", size)
+                 .select("_set", "rule", "n", "verdict", "rank", "item").distinct()
                  .groupBy("_set", "rule", "n", "verdict", "rank").count().where("count = n")
                  .groupBy("_set").agg(F.max_by("verdict", "rank").alias("_mined")))
     fired = cut(fired)

@@ -1,8 +1,10 @@
 """Operators on vectors, urls and pages against brute force."""
 
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import html as entities
@@ -140,6 +142,66 @@ def test_url_mining_counts_labelled_urls_only(frame):
     assert not any(r.mined for r in one)    # one class: nothing to tell apart
 
 
+def mined_by_hand(rows, least_share, least_conf, least_urls):
+    """Verdicts of the unlisted urls by every token set up to the whole url."""
+    own = set(urls.list_tokens(RULES))
+
+    def parts(url):
+        scheme, rest = url.split("://")
+        host, _, path = rest.partition("/")
+        words = re.split(r"[/._\-]+", re.sub("[0-9]+", "#", path))
+        return {f"s:{scheme}"} | {t for t in {f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in words if x} if t not in own}
+
+    def listed(url):
+        host, _, path = url.split("://")[1].partition("/")
+        return max(((len(h + p), v) for h, p, v in RULES
+                    if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)), default=(0, None))[1]
+
+    seen = [(parts(u), listed(u)) for _, u in rows if listed(u)]
+    share = {v: sum(x == v for _, x in seen) / len(seen) for v in ("allow", "block")}
+    rules = {}
+    for s, _ in seen:
+        for k in range(1, len(s) + 1):
+            for c in itertools.combinations(sorted(s), k):
+                if c not in rules:
+                    hit = [v for t, v in seen if t >= set(c)]
+                    rules[c] = None
+                    if len(hit) >= max(least_urls, least_share * len(seen)):
+                        rules[c] = max((hit.count(v) / len(hit), hit.count(v), -k, v == "allow", v) for v in share
+                                       ) if any(hit.count(v) / len(hit) >= least_conf for v in share) else None
+                        if rules[c] and (rules[c][1] < max(least_urls, least_share * len(seen))
+                                         or rules[c][0] <= share[rules[c][4]]):
+                            rules[c] = None
+    out = {}
+    for i, u in rows:
+        if not listed(u):
+            got = [r for c, r in rules.items() if r and set(c) <= parts(u)]
+            out[i] = max(got)[4] if got else "allow"
+    return out
+
+
+def test_url_mining_against_every_token_set(frame):
+    rng = random.Random(4)
+    words = ["win", "page", "play", "news", "card", "blog"]
+    rows = [(i, f"http://{rng.choice('abc')}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'en'])}/"
+                + "-".join(rng.sample(words, rng.randint(1, 4)))) for i in range(300)]
+    for conf in (0.9, 0.6):
+        got = {r.page_id: r.verdict for r in urls.judge(frame(rows, "page_id long, url string"), "page_id", "url", RULES,
+                                                        0.02, conf).collect()}
+        want = mined_by_hand(rows, 0.02, conf, 2)
+        assert len(set(want.values())) == 2 and {i: got[i] for i in want} == want
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_long_urls_do_not_explode(frame, copies):
+    long = "-".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(40))
+    rows = [(i, f"http://a.net/{long}") for i in range(copies)] + [(50 + i, f"http://b.org/fr/{long}") for i in range(copies)]
+    rows += [(100 + i, f"http://good{i % 9}.org/fr/page-{i}") for i in range(90)]
+    rows += [(200 + i, f"http://bad{i % 9}.net/win-{i}") for i in range(90)] + [(300, "http://x.com/waa-win"), (301, "http://x.com/waa")]
+    got = {r.page_id: r for r in urls.judge(frame(rows, "page_id long, url string"), "page_id", "url", RULES).collect()}
+    assert got[300].verdict == "block" and got[301].verdict == "allow"
+
+
 def text_of(page):
     return html_tree.main_text(html_tree.parse(page))
 
@@ -157,11 +219,38 @@ def text_of(page):
     ("<article>5 < 6 and <", "5 < 6 and <"),
     ("<main><section><p>s</p></section></main><p>t", "s"),
     ("<div>" * 3000 + "deep", "deep"),
+    ('<div class="content no-sidebar"><article>a</article></div><div class=sidebar>s</div>', "a"),
+    ('<div class="site has-header"><header>h</header><main>a</main></div>', "a"),
+    ("<form action=/x><nav>n</nav><article>a</article></form>", "a"),
+    ("<div class=page-header-wrap><article>a</article></div><form><article class=comment>c</article></form>", "a"),
+    ("<article><h2 class=section-header>h</h2>a</article>", "h\na"),
+    ("<article><div class=social-history>h</div><div class=related-work>w</div><div class=related-posts>p</div>"
+     "<div class=ad-slot>x</div><div class=entry-footer>f</div></article>", "h\nw"),
+    ("<article>a</article><div class=comment-list><article>c</article></div>", "a"),
+    ("<article><p title=\"it's\" class=don't>a<p class=\"x>b</p></article>", "a\nb"),
 ])
 def test_main_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "</span></p></i>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000,
+    "<p>" + "<button>" * 50_000 + "<p>" * 50_000, "<a =\"" * 100_001, "<div class='no-ad comment-x'><form>" * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.process_time()
+    text_of(page)
+    assert time.process_time() - start < 8
+
+
+def test_entropies_decide_on_doubtful_classes(frame):
+    page = "<article><p>Story {0} of {1}</p><div class=related-facts>{2}</div></article>"
+    rows = [(i, "http://a.b/x", page.format(i, i * i, "Call us")) for i in range(9)]
+    rows += [(20 + i, "http://c.d/x", page.format(i, i * i, f"fact {i}")) for i in range(9)]
+    got = {r.page_id: r.text for r in
+           html_tree.extract(frame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()}
+    assert got[3] == "Story 3 of 9" and got[23] == "Story 3 of 9\nfact 3"
+
+
 def test_pages_of_the_test_data(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_tree.extract(pages, "page_id", "url", "html").collect()}
