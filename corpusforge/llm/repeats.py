@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import chunks, cut, join_checked, ready, slices
 
 GRAM = 32                # bytes of the first digit
-PIECE = 1 << 19          # window starts of a long text handled at a time
-CHUNK = 1 << 20          # bytes of text handled at a time
+PIECE = 1 << 17          # window starts of a long text handled at a time
+CHUNK = 1 << 17          # bytes of text handled at a time, each as some twenty 64-bit numbers
 GROUP = 4096             # contexts of one gram compared in one task
 BATCH = 1024             # contexts of small grams compared at a time
 
