@@ -47,12 +47,13 @@ class Splitter:
         self.regex = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.kind = None
         if pattern == PATTERN:
-            every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
             self.kind = np.full(0x110000, 2, np.uint8)
-            for k, prop in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\p{White_Space}+")):
-                for m in regex.finditer(prop, every):
-                    self.kind[ord(every[m.start()]):ord(every[m.end() - 1]) + 1] = k
-            self.kind[0xD800:0xE000] = 2
+            for low in range(0, 0x110000, 0x800):       # in blocks, as a string of all is large
+                if not 0xD800 <= low < 0xE000:
+                    block = "".join(map(chr, range(low, low + 0x800)))
+                    for k, prop in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\p{White_Space}+")):
+                        for m in regex.finditer(prop, block):
+                            self.kind[low + m.start():low + m.end()] = k
         rng = np.random.default_rng(11)
         self.mul = [int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2, dtype=np.int64)]
         n = SCAN + 1
