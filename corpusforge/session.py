@@ -63,6 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back. Cuts
+    lineage like a checkpoint, and the planner's sizes as well: a checkpoint
+    keeps the estimate of its plan, which a loop that joins its own results
+    would multiply with itself round by round."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a thin input (fewer partitions than the cluster has
     cores, e.g. one big row group) before heavy per-row work. A many-file
