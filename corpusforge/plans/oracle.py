@@ -379,6 +379,7 @@ SELECT doc_id, 'system' AS system_role, {_SYSTEM} AS system_content, 'user' AS u
        prompt AS user_content, {sql_strip("coalesce(canonical_solution, '')")} AS reference
 FROM ({_DOC_TASKS})""",
     "roundtrip_json": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "roundtrip_array": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "roundtrip_csv": f"""
 SELECT 'doc ' || doc_id AS prompt,
        CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '    ' || text || '  '

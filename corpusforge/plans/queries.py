@@ -202,6 +202,15 @@ def q_roundtrip_json(spark, sf):
     return spark.read.schema(d.schema).json(path)
 
 
+def q_roundtrip_array(spark, sf):
+    """S5 and S6 as one JSON array in pieces that many tasks write and read."""
+    d = dv.table(spark, sf, "documents")
+    path = scratch_path(spark, "roundtrip-array")
+    wr.write_array(d, path, ["doc_id"])
+    back = rd.read_array_elements(spark, path, parts=True)
+    return back.select(F.from_json("element", d.schema).alias("r")).select("r.*")
+
+
 def q_read_tasks_array(spark, sf):
     """Pretty-printed arrays of a hundred tasks, one per file."""
     d = dv.document_tasks(spark, sf)
@@ -402,6 +411,7 @@ QUERIES = {
     "instruction_rows": q_instruction_rows,
     "chat_rows": q_chat_rows,
     "roundtrip_json": q_roundtrip_json,
+    "roundtrip_array": q_roundtrip_array,
     "read_tasks_array": q_read_tasks_array,
     "roundtrip_csv": q_roundtrip_csv,
     "answers": q_answers,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.operators.numbering import global_index
 from corpusforge.sources import schemas
 
 # Spark's CSV writer trims values unless told not to, which would destroy code
@@ -37,6 +38,24 @@ def write_tasks_json(tasks: DataFrame, path: str, mode: str = "overwrite") -> No
     tasks.write.mode(mode).json(path)
 
 
+def write_array(df: DataFrame, path: str, order_cols: list[str], mode: str = "overwrite") -> None:
+    """S5, the array form: the part files under ``path``, one after the other
+    in the order of their names, are one JSON array of the rows in
+    ``order_cols`` order (a unique key). Every task writes its own piece; no
+    task and no driver holds the rows. ``cat`` or a merging copy of the folder
+    gives the single file; :func:`readers.read_array_elements` reads it either
+    way. Null fields are written as ``null``; no rows give ``[]``."""
+    rows = global_index(df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)]),
+                        [f"_o{i}" for i in range(len(order_cols))], "_at")
+    n = rows.count()
+    if n == 0:
+        df.sparkSession.range(1, numPartitions=1).select(F.lit("[]")).write.mode(mode).text(path)
+        return
+    text = F.to_json("row", {"ignoreNullFields": "false"})
+    rows.select(F.concat(F.when(F.col("_at") == 0, F.lit("[\n")).otherwise(F.lit("")), text,
+                         F.when(F.col("_at") == n - 1, F.lit("\n]")).otherwise(F.lit(",")))).write.mode(mode).text(path)
+
+
 def write_preferences_csv(prefs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, every field quoted, ``""`` escaping, whitespace
     kept, multi-line values as is."""

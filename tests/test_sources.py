@@ -111,3 +111,51 @@ def test_search_pages_from_saved_json(spark, tmp_path):
     rows = items.select("page", "pos", "repo", rd.raw_url().alias("url")).orderBy("page", "pos").collect()
     assert [(r["page"], r["pos"]) for r in rows] == [(1, 0), (1, 1), (2, 0)]
     assert rows[2]["url"] == "https://raw.githubusercontent.com/o/r2/main/p2.py"
+
+
+def test_array_of_many_splits(spark, tmp_path):
+    """One file over many splits, with braces, quotes and escapes in strings,
+    nested values and elements that are no objects."""
+    rows = [{"id": i, "s": ['a}b{', 'q"uo]te', "back\\\\", 'x\\"}', "}" * 40, "l\n},{"][i % 5] * (1 + i % 3),
+             "n": {"k": [{"z": i}, [i]]}} for i in range(60)]
+    mixed = rows[:20] + ["oops }", 7, None] + rows[20:] + ["last}"]
+    path = tmp_path / "big.json"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for indent in (None, 4):
+            path.write_text(json.dumps(mixed, indent=indent))
+            out = rd.read_array_elements(spark, str(path)).collect()
+            assert not [r for r in out if r["bad"]]
+            objects = sorted((r["pos"], r["element"]) for r in out if (r["element"] or "").startswith("{"))
+            assert [json.loads(e) for _, e in objects] == rows
+            assert sorted(r["element"] or "" for r in out if not (r["element"] or "").startswith("{")) == \
+                sorted(["oops }", "7", "", "last}"])
+        text = json.dumps(rows)
+        for cut in (len(text) - 1, len(text) // 2, text.index("}}", 900) + 2):  # cut behind and within an element
+            path.write_text(text[:cut])
+            out = rd.read_array_elements(spark, str(path)).collect()
+            good = [json.loads(r["element"]) for r in sorted((r for r in out if r["element"]), key=lambda r: r["pos"])]
+            whole = next(n for n in range(60, -1, -1) if text[:cut].startswith(json.dumps(rows[:n])[:-1]))
+            assert good == rows[:whole]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_array_edges_and_written_array(spark, tmp_path):
+    for i, (text, good, bad) in enumerate([("[]", 0, 0), ("", 0, 0), (" [ ]\n", 0, 0), ('{"a": 1}', 0, 1),
+                                           ('["x", 2]', 2, 0), ('[{"a": 1}, {bad}, {"b": 2}]', 2, 1)]):
+        f = tmp_path / f"e{i}.json"
+        f.write_text(text)
+        out = rd.read_array_elements(spark, str(f)).collect()
+        assert (sum(r["element"] is not None for r in out), sum(r["bad"] is not None for r in out)) == (good, bad), text
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"t}}{i}\n") for i in range(50)], "id long, t string")
+    path = str(tmp_path / "arr")
+    wr.write_array(df, path, ["id"])
+    parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    joined = "".join(open(os.path.join(path, f)).read() for f in parts)
+    assert json.loads(joined) == [{"id": r["id"], "t": r["t"]} for r in df.orderBy("id").collect()]
+    back = rd.read_array_elements(spark, path, parts=True).collect()
+    assert len(parts) > 1 and sorted(json.loads(r["element"])["id"] for r in back) == list(range(50))
+    wr.write_array(df.limit(0), path, ["id"])
+    assert rd.read_array_elements(spark, path, parts=True).count() == 0
