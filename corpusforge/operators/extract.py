@@ -1,16 +1,17 @@
 """Function extraction (P2-P4) and syntax counts (C1) in one Python pass.
 
 One source file in, zero or more function rows out: the role of a table
-function, written as ``mapInPandas`` so rows cross the JVM/Python boundary in
-Arrow batches. Each file is parsed once; each snippet once more (the validity
-check and the counts share that parse).
+function, written as ``mapInArrow`` so rows cross the JVM/Python boundary in
+Arrow batches. Each file is parsed once; a snippet is parsed again only where its
+text alone may mean something else than in the file. A task takes about
+``FILES`` files, however many there are, and holds the functions of ``STEP`` of them.
 """
 
 from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +20,25 @@ from corpusforge.functions.text import py_strip
 from corpusforge.session import ship_package, spread
 from corpusforge.sources.schemas import FUNCTIONS
 
+FILES = 10_000      # files of a task
+STEP = 256          # files whose functions are held at a time
+
 _OUT_COLS = [f.name for f in FUNCTIONS.fields]
+_OUT_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(),
+              pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
 
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(s, STEP) for b in batches for s in range(0, b.num_rows, STEP)):
         out = []
-        for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
-            if content is None:
-                out.append((repo, path, None, None, None, None, None, None, None, None, None,
-                            "no_content"))
-                continue
-            status, rows = extract_functions(content)
+        for repo, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "content"))):
+            status, rows = ("no_content", ()) if content is None else extract_functions(content)
             if status != "ok":
-                out.append((repo, path, None, None, None, None, None, None, None, None, None,
-                            status))
-                continue
-            for (fn_ord, lineno, name, code, doc, parses, stmts, calls, branches) in rows:
-                out.append((repo, path, fn_ord, lineno, name, code, doc, parses,
-                            stmts, calls, branches, "ok"))
-        yield pd.DataFrame(out, columns=_OUT_COLS).astype(
-            {"fn_ord": "Int32", "lineno": "Int32", "num_stmts": "Int32",
-             "num_calls": "Int32", "num_branches": "Int32", "snippet_parses": "boolean"})
+                out.append((repo, path, *[None] * 9, status))
+            out += [(repo, path, *row, "ok") for row in rows]
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*out), _OUT_KINDS)], names=_OUT_COLS)
 
 
 def extract_function_rows(files: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def extract_function_rows(files: DataFrame) -> DataFrame:
     counts attached; a file that does not parse yields one row with its
     ``status`` and NULL function fields (E2 isolation, the job goes on)."""
     ship_package(files.sparkSession)
-    return spread(files.select("repo", "path", "content")).mapInPandas(_extract_batches, FUNCTIONS)
+    return spread(files.select("repo", "path", "content"), FILES).mapInArrow(_extract_batches, FUNCTIONS)
 
 
 def valid_functions(fns: DataFrame) -> DataFrame:

@@ -114,3 +114,33 @@ def test_indented_snippets_never_parse_and_form_feed_is_not_indent(spark):
         except SyntaxError:
             ok = False
         assert ok == r[5]
+
+
+def test_tasks_and_batches_stay_small(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpusforge.operators import extract
+    monkeypatch.setattr(extract, "FILES", 20)
+    files = _files(spark, [("r", f"{i}.py", MODULE) for i in range(1000)])
+    fns = extract_function_rows(files)
+    assert fns.rdd.getNumPartitions() >= 50       # not one task a core, whatever the files
+    assert fns.count() == 5000
+    batch = pa.RecordBatch.from_pylist([{"repo": "r", "path": "p", "content": MODULE}] * 1000)
+    out = list(extract._extract_batches(iter([batch])))
+    assert max(b.num_rows for b in out) <= 5 * extract.STEP and sum(b.num_rows for b in out) == 5000
+
+
+def test_functions_equal_their_text_parsed_alone():
+    import ast
+
+    from corpusforge.functions.pyast import extract_functions, node_counts
+    body = "    return call(1) if a else 'aaaaaaaaaaaaaaa'"
+    for text in (f"@d(1)\ndef f(a):\n{body}\n", f"def f(a):\n{body} \\\n\n", f"def f(a):\n{body}  # é \\\n",
+f"def f(a):\r\n{body}\r\n", f"\x0cdef f(a):\n{body}\n"):
+        (row,) = extract_functions(text)[1]
+        try:
+            alone = ast.parse(row[3])
+        except SyntaxError:
+            assert row[5:] == (False, None, None, None)
+        else:
+            assert row[5:] == (True, *node_counts(alone))
