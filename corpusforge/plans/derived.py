@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.operators.extract import FILES
 from corpusforge.operators.tasks import TASK_PREFIX
 from corpusforge.session import spread
 
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # class with a method, a test_ function, a one-line function and a helper.
 # Every 17th file gets a Python 2 print statement and does not parse.
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small rows of ``part`` in tasks of ``FILES``: one split of the table
+    holds many files' worth, so texts are built after the rows are dealt out."""
+    return spread(table(spark, sf_dir, "part"), FILES)
+
+
 def part_function(k: Column, name: Column, size: Column) -> Column:
     a = (size % 20).cast("int")
     c = (k % 4).cast("int")
@@ -39,7 +46,7 @@ def part_function(k: Column, name: Column, size: Column) -> Column:
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = _parts(spark, sf_dir)
     k = F.col("p_partkey")
     ks = k.cast("string")
     body = F.concat(
@@ -195,7 +202,7 @@ def copied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(k % 4 == 2, F.concat(F.lit(NL + "    more_"), own, F.lit("()"))).otherwise(F.lit("")))
     head = F.when(k % 5 == 0, F.lit("import math")).when(k % 5 == 1, F.lit("import QISKIT")).otherwise(
         F.lit("import qiskit"))
-    return table(spark, sf_dir, "part").select(
+    return _parts(spark, sf_dir).select(
         F.concat(F.lit("org/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),
         F.concat(F.lit("part_"), k.cast("string"), F.lit(".py")).alias("path"),
         F.when(k % 11 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),

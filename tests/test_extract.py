@@ -144,3 +144,14 @@ f"def f(a):\r\n{body}\r\n", f"\x0cdef f(a):\n{body}\n"):
             assert row[5:] == (False, None, None, None)
         else:
             assert row[5:] == (True, *node_counts(alone))
+
+
+def test_files_are_built_after_the_rows_are_dealt_out(spark, tmp_path, monkeypatch):
+    from corpusforge.plans import derived
+    monkeypatch.setattr(derived, "FILES", 10)
+    (spark.range(500).coalesce(1).selectExpr(
+        "id as p_partkey", "'n' as p_name", "1 as p_size", "'Brand#1' as p_brand", "'T' as p_type")
+     .write.parquet(str(tmp_path / "part.parquet")))
+    for files in (derived.part_files, derived.copied_files):
+        out = files(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() >= 50 and out.count() == 500
