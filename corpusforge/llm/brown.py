@@ -31,18 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import cut, ready, slices
 from corpusforge.llm.words import Numbers, binary, parts
-from corpusforge.session import bucketed_table
+from corpusforge.session import bucketed_table, shuffles_dropped
 
-BLOCK = 12 << 20        # bytes of text that share a word list
+BLOCK = 6 << 20         # bytes of text that share a word list; a row of every table is one block
 CHUNK = 1 << 20         # bytes of text split at a time
 STEP = 1 << 19          # tokens of a block looked at at a time
-ENTRIES = 1 << 15       # neighbour counts of rare words weighed at a time
+ENTRIES = 1 << 11       # neighbour counts of rare words weighed at a time, so that they stay in the cache
 END = b""               # the end of a text; no word is empty
 
 _PAIR = np.dtype([("at", "<i2"), ("n", "<i4")])
@@ -159,12 +160,13 @@ def _contexts(shared, k: int):
                 cls = classes[own]      # the last one stands for all other words
                 cls[0] = k + 1
                 for a, b, _ in _pairs(batch, i, True):
-                    bigrams += np.bincount(cls[a] * g + cls[b], minlength=g * g)
-                    x = own[b] >= 0
-                    acc += np.bincount(own[b][x] * 2 * g + cls[a][x], minlength=len(acc))
-                    x = own[a] >= 0
-                    acc += np.bincount(own[a][x] * 2 * g + g + cls[b][x], minlength=len(acc))
-                    double += np.bincount(own[a][x & (own[a] == own[b])], minlength=m)
+                    before, after, u, v = cls[a], cls[b], own[a], own[b]
+                    bigrams += np.bincount(before * g + after, minlength=g * g)
+                    x = v >= 0
+                    acc += np.bincount(v[x] * 2 * g + before[x], minlength=len(acc))
+                    x = u >= 0
+                    acc += np.bincount(u[x] * 2 * g + g + after[x], minlength=len(acc))
+                    double += np.bincount(u[x & (u == v)], minlength=m)
         v = np.c_[acc.reshape(m, 2 * g), double]
         some = np.flatnonzero(v.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -267,6 +269,13 @@ def _rare_contexts(shared, k: int):
     return run
 
 
+def _packed(v: pa.Array):
+    """All packed counts of a binary column, and how many each value holds."""
+    ends = np.frombuffer(v.buffers()[1], np.int32)[v.offset:v.offset + len(v) + 1]
+    return (np.frombuffer(v.buffers()[2], _PAIR, int(ends[-1] - ends[0]) // _PAIR.itemsize, int(ends[0])),
+            np.diff(ends) // _PAIR.itemsize)
+
+
 def _rare_moves(shared, k: int):
     """Packed counts that arrive sorted by word -> ``(word, c, cls)``. The gain of
     a class changes at the word's own neighbours only."""
@@ -304,31 +313,29 @@ def _rare_moves(shared, k: int):
 
     def run(batches):
         tables = prepared()
-        word, at, n = [], np.empty(0, np.int64), np.empty(0)     # the last word may go on in the next batch
+        word, at, n = binary([]), np.empty(0, np.int64), np.empty(0)     # the last word may go on in the next batch
 
         def done(words, group, at, n):
             c, cls = best(tables, group, at, n, len(words))
-            return pa.RecordBatch.from_arrays([binary(words), pa.array(c), pa.array(cls)], names=["word", "c", "cls"])
+            return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(cls)], names=["word", "c", "cls"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [*word, *batch.column(0).to_pylist()]
-            packed = [np.frombuffer(v, _PAIR) for v in batch.column(1).to_pylist()]
-            flat = np.concatenate(packed)
-            who = np.repeat(np.arange(len(word), len(new)), [len(p) for p in packed])
-            fresh = [True, *(x != y for x, y in zip(new[1:], new))]
+            new = pa.concat_arrays([word, batch.column(0).cast(pa.binary())])
+            flat, sizes = _packed(batch.column(1).cast(pa.binary()))
+            fresh = np.r_[True, pc.not_equal(new[1:], new[:-1]).to_numpy(zero_copy_only=False)].astype(bool)
             number = np.cumsum(fresh) - 1
             at, n = np.r_[at, flat["at"]], np.r_[n, flat["n"]]
-            group = np.r_[np.zeros(len(at) - len(flat), np.int64), number[who]]
-            distinct = [w for w, f in zip(new, fresh) if f]
-            last = group == number[-1]
-            if len(distinct) > 1:
-                yield done(distinct[:-1], group[~last], at[~last], n[~last])
-            sums = np.bincount(at[last].astype(np.int64), weights=n[last], minlength=2 * g)
-            word, at = [distinct[-1]], np.flatnonzero(sums)
+            group = np.r_[np.zeros(len(at) - len(flat), np.int64), np.repeat(number[len(word):], sizes)]
+            distinct = new.filter(pa.array(fresh))
+            last = np.searchsorted(group, number[-1])
+            if last:
+                yield done(distinct[:-1], group[:last], at[:last], n[:last])
+            sums = np.bincount(at[last:].astype(np.int64), weights=n[last:], minlength=2 * g)
+            word, at = distinct[-1:], np.flatnonzero(sums)
             n = sums[at]
-        if word:
+        if len(word):
             yield done(word, np.zeros(len(at), np.int64), at, n)
     return run
 
@@ -337,11 +344,11 @@ def _local(batch: pa.RecordBatch, i: int, unknown: int):
     """Count and class of every word of row ``i``."""
     c = np.zeros(len(batch.column("words")[i].values), np.int64)
     cls = np.full(len(c), unknown)
-    known = batch.column("known")[i]
-    if known.is_valid:
-        known = known.values
-        at = known.field("i").to_numpy()
-        c[at], cls[at] = known.field("c").to_numpy(), known.field("cls").to_numpy()
+    place = batch.column("place")[i]
+    if place.is_valid:
+        place = place.values.to_numpy()
+        at = place >> 16
+        c[at], cls[at] = batch.column("c")[i].values.to_numpy(), place & 0xFFFF
     return c, cls
 
 
@@ -440,11 +447,13 @@ def train(blocks: DataFrame, classes: int = 64, frequent: int = 8192, sweeps: in
 
 
 def lookup(blocks: DataFrame, model: Model, made: list[str]) -> DataFrame:
-    """``(block, known)``: place, count and class of the known words of a block,
-    written as a table bucketed like the blocks."""
-    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(model.words, "word").drop("word")
+    """``(block, place, c)``: place and class as one number, and count, of the known
+    words of a block, written as a table bucketed like the blocks. Two lists of
+    numbers: structs took 40 bytes a word, these take 16."""
+    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(model.words, "word").select(
+        "block", (F.col("i").cast("long") * 65536 + F.col("cls")).alias("place"), "c")
     return bucketed_table(pairs.repartition(_buckets(blocks), "block").groupBy("block").agg(
-        F.collect_list(F.struct("i", "c", "cls")).alias("known")), "block", _buckets(blocks), "lm-known", made)
+        F.collect_list("place").alias("place"), F.collect_list("c").alias("c")), "block", _buckets(blocks), "lm-known", made)
 
 
 def _buckets(df: DataFrame) -> int:
@@ -463,28 +472,29 @@ def score(df: DataFrame, id_col: str, text_col: str, held, classes: int = 64, fr
     spark = df.sparkSession
     ready(spark)
     made: list[str] = []
-    blocks = encode(df, id_col, text_col, F.coalesce(held, F.lit(False)), made)
-    model = train(blocks, classes, frequent, sweeps)
-    known = lookup(blocks, model, made)
-    g = classes + 3
-    both = lambda *cols: blocks.select("block", "held", "size", "low", "high", "words", *cols).join(known, "block", "left").drop("block")
-    for at, n in both().mapInArrow(_class_bigrams(classes), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        model.bigrams[at // g, at % g] = n      # at most g * g rows
-    sizes = np.zeros(g, np.int64)
-    sizes[g - 1] = 1
-    for cls, n, once in model.words.groupBy("cls").agg(F.sum(F.col("c") + 1), F.count(F.when(F.col("c") == 1, 1))).collect():
-        sizes[cls] = n
-        sizes[g - 1] += once
-    if stats is not None:
-        stats.append((model, sizes))
-    shared = spark.sparkContext.broadcast((model.bigrams, sizes, prior, model.tokens, model.types))
-    kind = df.schema[id_col].dataType.simpleString()
-    out = both("rows", "ids").mapInArrow(
-        _scores(shared), f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
-    out = cut(out.groupBy("row").agg(
-        F.first("id").alias(id_col), F.first("held").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row"))
+    with shuffles_dropped(spark):       # else the shuffles of all sweeps stay until the end
+        blocks = encode(df, id_col, text_col, F.coalesce(held, F.lit(False)), made)
+        model = train(blocks, classes, frequent, sweeps)
+        known = lookup(blocks, model, made)
+        g = classes + 3
+        both = lambda *cols: blocks.select("block", "held", "size", "low", "high", "words", *cols).join(known, "block", "left").drop("block")
+        for at, n in both().mapInArrow(_class_bigrams(classes), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+            model.bigrams[at // g, at % g] = n      # at most g * g rows
+        sizes = np.zeros(g, np.int64)
+        sizes[g - 1] = 1
+        for cls, n, once in model.words.groupBy("cls").agg(F.sum(F.col("c") + 1), F.count(F.when(F.col("c") == 1, 1))).collect():
+            sizes[cls] = n
+            sizes[g - 1] += once
+        if stats is not None:
+            stats.append((model, sizes))
+        shared = spark.sparkContext.broadcast((model.bigrams, sizes, prior, model.tokens, model.types))
+        kind = df.schema[id_col].dataType.simpleString()
+        out = both("rows", "ids").mapInArrow(
+            _scores(shared), f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
+        out = cut(out.groupBy("row").agg(
+            F.first("id").alias(id_col), F.first("held").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
+            F.sum("n_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+            F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row"))
     for name in made:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,44 @@ def test_class_model_brute_force(frame, monkeypatch, block, chunk, frequent):
     assert Counter(map(summary, rows)) == Counter(map(summary, want))
 
 
+def test_class_model_rows_are_small(frame, spark):
+    """A block is one row in every table: 8 MB of text make two, and the known words
+    of a block are lists of numbers."""
+    key, made = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key, None)
+    docs = [(i, f"w{i} alpha beta gamma " * 40_000, None) for i in range(10)]
+    blocks = brown.encode(frame(docs, SCHEMA).coalesce(1), "doc_id", "text", F.lit(False), made)
+    assert blocks.count() == 2
+    known = brown.lookup(blocks, brown.train(blocks, 3, 8, 2), made)
+    assert dict(known.dtypes) == {"block": "bigint", "place": "array<bigint>", "c": "array<bigint>"}
+    assert sorted(len(r.place) for r in known.collect()) == sorted(len(r.words) for r in blocks.collect())
+    for name in made:
+        spark.sql(f"DROP TABLE {name}")
+    assert spark.conf.get(key, None) == before
+
+
+def test_rare_words_over_batches_are_one():
+    """Counts of one word that batches cut are added up, whatever the batches are."""
+    class Shared:
+        value = np.random.default_rng(1).integers(0, 50, (5, 5))
+    rng = random.Random(2)
+    rows = sorted((b"w%d" % rng.randrange(30), [(rng.randrange(10), rng.randrange(1, 90)) for _ in range(rng.randrange(1, 4))])
+                  for _ in range(200))
+    table = pa.RecordBatch.from_arrays(
+        [pa.array([w for w, _ in rows], pa.binary()), pa.array([np.array(v, brown._PAIR).tobytes() for _, v in rows], pa.binary())],
+        names=["word", "v"])
+
+    def moved(size):
+        cuts = [table.slice(i, size) for i in range(0, len(rows), size)]
+        return [tuple(r.values()) for b in brown._rare_moves(Shared, 3)([table.slice(0, 0), *cuts]) for r in b.to_pylist()]
+    want = Counter()
+    for w, v in rows:
+        want[w] += sum(n for at, n in v if at >= 5)
+    for size in (1, 7, 64, 200):
+        assert moved(size) == moved(200)
+    assert {w: c for w, c, _ in moved(7)} == dict(want) and len(moved(1)) == len({w for w, _ in rows})
+
+
 def test_class_model_without_training_texts(frame):
     docs = [(i, "a b", None) for i in range(40) if held_out(i)]
     for data in ([], docs):
