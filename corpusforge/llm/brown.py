@@ -78,10 +78,8 @@ def _blocks(kind: pa.DataType):
 
         def flush(s):
             numbers, ids, rows, held, size, toks, _ = s
-            n = np.zeros(len(numbers), np.int32)
-            for tok, h in zip(toks, held):
-                if not h:
-                    np.add.at(n, tok[1:], 1)
+            learned = [np.empty(0, np.int32), *(tok[1:] for tok, h in zip(toks, held) if not h)]
+            n = np.bincount(np.concatenate(learned), minlength=len(numbers)).astype(np.int32)
             tok = np.concatenate(toks)
             # numbers are in order of appearance, so most fit in two bytes
             low, high = np.minimum(tok, 65535).astype("<u2"), tok[tok >= 65535]
@@ -141,27 +139,33 @@ def likelihood(m: np.ndarray) -> float:
     return float(_f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum())
 
 
-def _numbers_of(words: pa.Array, numbers: dict) -> np.ndarray:
-    return np.fromiter((numbers.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+def _numbers_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
+    """Places of words among the frequent ones, -1 for all others."""
+    return pc.fill_null(pc.index_in(words.cast(pa.binary()), value_set=frequent), -1).to_numpy().astype(np.int64)
 
 
-def _contexts(shared, k: int):
+def _contexts(shared, k: int, bigrams_only: bool = False):
     """Blocks -> ``(w, v)``: counts of the classes before and after each frequent
-    word and of its doubles; the class bigrams as word -1."""
+    word and of its doubles; the class bigrams as word -1. After the last sweep no
+    word moves, so ``bigrams_only`` leaves the words out."""
     g = k + 2
 
     def run(batches):
-        numbers, classes = shared.value
-        m = len(numbers)
+        frequent, classes = shared.value
+        frequent = binary(frequent)
+        m = 0 if bigrams_only else len(frequent)
         acc, double, bigrams = np.zeros(m * 2 * g, np.int64), np.zeros(m, np.int64), np.zeros(g * g, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                own = _numbers_of(batch.column("words")[i].values, numbers)
+                own = _numbers_of(batch.column("words")[i].values, frequent)
                 cls = classes[own]      # the last one stands for all other words
                 cls[0] = k + 1
                 for a, b, _ in _pairs(batch, i, True):
-                    before, after, u, v = cls[a], cls[b], own[a], own[b]
+                    before, after = cls[a], cls[b]
                     bigrams += np.bincount(before * g + after, minlength=g * g)
+                    if bigrams_only:
+                        continue
+                    u, v = own[a], own[b]
                     x = v >= 0
                     acc += np.bincount(v[x] * 2 * g + before[x], minlength=len(acc))
                     x = u >= 0
@@ -240,11 +244,12 @@ def _rare_contexts(shared, k: int):
     g = k + 2
 
     def run(batches):
-        numbers, classes = shared.value
+        frequent, classes = shared.value
+        frequent = binary(frequent)
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column("words")[i].values
-                own = _numbers_of(words, numbers)
+                own = _numbers_of(words, frequent)
                 cls = classes[own]      # the last one stands for all other words
                 cls[0] = k + 1
                 rare = own < 0
@@ -416,27 +421,28 @@ def train(blocks: DataFrame, classes: int = 64, frequent: int = 8192, sweeps: in
                  .groupBy(F.col("words").alias("word")).agg(F.sum("n").alias("c")))
     tokens, types, end = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("c")))).first()
     top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(frequent).collect()     # at most `frequent`
-    numbers = {bytes(r["word"]): i for i, r in enumerate(top)}
+    most = [bytes(r["word"]) for r in top]
     now = np.arange(len(top)) % k
     seen, tried = [], []
     parts_ = _buckets(blocks)
     read = blocks.select("held", "size", "low", "high", "words")
-    for _ in range(max(sweeps, 1)):
-        shared = spark.sparkContext.broadcast((numbers, np.r_[now, k]))
-        sums = cut(read.mapInArrow(_contexts(shared, k), "w int, v binary").repartition(parts_, "w")
+    for sweep in range(max(sweeps, 1)):
+        last = sweep == max(sweeps, 1) - 1
+        shared = spark.sparkContext.broadcast((most, np.r_[now, k]))
+        sums = cut(read.mapInArrow(_contexts(shared, k, last), "w int, v binary").repartition(parts_, "w")
                    .sortWithinPartitions("w").mapInArrow(_added, "w int, v binary"))
         m = sums.where("w = -1").first()
         m = np.frombuffer(bytes(m["v"]), np.int64).reshape(k + 2, k + 2) if m else np.zeros((k + 2, k + 2), np.int64)
         seen.append(likelihood(m.astype(np.float64)))
         tried.append((now, m))
-        if len(seen) == sweeps:
+        if last:
             break
         share = spark.sparkContext.broadcast((now, m))
         now = now.copy()
         for w, c in sums.where("w >= 0").mapInArrow(_moves(share, k), "w int, cls int").collect():    # at most `frequent`
             now[w] = c
     now, m = tried[int(np.argmax(seen))]
-    shared, share = spark.sparkContext.broadcast((numbers, np.r_[now, k])), spark.sparkContext.broadcast(m)
+    shared, share = spark.sparkContext.broadcast((most, np.r_[now, k])), spark.sparkContext.broadcast(m)
     rare = (read.mapInArrow(_rare_contexts(shared, k), "word binary, v binary").repartition(parts_, "word")
             .sortWithinPartitions("word").mapInArrow(_rare_moves(share, k), "word binary, c long, cls int"))
     known = [(bytearray(r["word"]), r["c"], int(now[i])) for i, r in enumerate(top)]
@@ -450,7 +456,8 @@ def lookup(blocks: DataFrame, model: Model, made: list[str]) -> DataFrame:
     """``(block, place, c)``: place and class as one number, and count, of the known
     words of a block, written as a table bucketed like the blocks. Two lists of
     numbers: structs took 40 bytes a word, these take 16."""
-    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(model.words, "word").select(
+    pairs = blocks.select("block", F.posexplode("words").alias("i", "word")).join(
+        model.words.hint("shuffle_hash"), "word").select(       # its words are distinct
         "block", (F.col("i").cast("long") * 65536 + F.col("cls")).alias("place"), "c")
     return bucketed_table(pairs.repartition(_buckets(blocks), "block").groupBy("block").agg(
         F.collect_list("place").alias("place"), F.collect_list("c").alias("c")), "block", _buckets(blocks), "lm-known", made)
