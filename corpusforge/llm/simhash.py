@@ -91,25 +91,43 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) ->
     return src.mapInArrow(_fingerprint_batches(shingle), f"id {kind}, fp long")
 
 
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash (SplitMix64) of ``x``. Equal hashes of two cells only make more
+    candidates, which the exact distance sorts out."""
+    x = x + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _cells(max_distance: int):
-    """Expression: array of (cell, up) of column ``fp``."""
+    """Fingerprints -> ``(cell, fp, up)``, one row for every cell a fingerprint
+    stands in. Vectorised: an expression with a lambda a segment left its arrays
+    and rows to the JVM's heap."""
     groups = max(2, max_distance // 2 + 1)
     ups = max_distance // groups
     edges = [round(32 * i / groups) * 2 for i in range(groups + 1)]
-    out = []
-    for g, (a, b) in enumerate(zip(edges, edges[1:])):
-        bits, odd = (1 << (b - a)) - 1, int("01" * ((b - a) // 2), 2)
-        x = F.shiftrightunsigned("fp", a).bitwiseAND(F.lit(bits))
-        pops = x.bitwiseAND(F.lit(odd)) + F.shiftright(x, 1).bitwiseAND(F.lit(odd))
-        base = F.struct(F.xxhash64(F.lit(g), pops).alias("cell"), F.lit(False).alias("up"))
-        out.append(F.array(base))
-        if ups:
-            steps = F.filter(F.sequence(F.lit(0), F.lit(b - a - 2), F.lit(2)), lambda j:
-                             F.call_function("shiftright", pops, j).bitwiseAND(F.lit(3)) < 2)
-            out.append(F.transform(steps, lambda j: F.struct(
-                F.xxhash64(F.lit(g), pops + F.call_function("shiftleft", F.lit(1).cast("long"), j)).alias("cell"),
-                F.lit(True).alias("up"))))
-    return F.flatten(F.array(*out))
+
+    def cells(fp):
+        every = np.arange(len(fp))
+        for g, (a, b) in enumerate(zip(edges, edges[1:])):
+            odd = np.uint64(int("01" * ((b - a) // 2), 2))
+            x = fp >> np.uint64(a)
+            pops = (x & odd) + (x >> np.uint64(1) & odd)
+            yield _mixed(pops, g), every, False
+            for j in range(0, b - a, 2) if ups else ():
+                who = np.flatnonzero((pops >> np.uint64(j) & np.uint64(3)) < 2)
+                yield _mixed(pops[who] + np.uint64(1 << j), g), who, True
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                fp = batch.column(0).slice(i, BLOCK).to_numpy().view(np.uint64)
+                cell, who, up = zip(*cells(fp))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(cell).view(np.int64)), pa.array(fp[np.concatenate(who)].view(np.int64)),
+                     pa.array(np.repeat(up, [len(w) for w in who]))], names=["cell", "fp", "up"])
+    return run
 
 
 def _links_in_runs(max_distance: int):
@@ -150,7 +168,7 @@ def _links_in_runs(max_distance: int):
 def links(nodes: DataFrame, max_distance: int = 3, block: int = BLOCK) -> DataFrame:
     """``nodes``: distinct ``fp``. Edges ``(u, v)`` that connect exactly the
     fingerprints connected by links of at most ``max_distance`` bits."""
-    rows = nodes.select("fp", F.explode(_cells(max_distance)).alias("c")).select("c.cell", "fp", "c.up")
+    rows = nodes.select("fp").mapInArrow(_cells(max_distance), "cell long, fp long, up boolean")
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("only_up"))
     sizes = cut(sizes.where("n > 1 and not only_up").select(
         "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -43,6 +44,25 @@ def test_simhash_brute_force(frame):
     assert Counter(map(tuple, got)) == want
 
 
+def test_simhash_cells_come_in_small_batches():
+    """Cells are listed in Arrow batches; a link within the distance shares a cell
+    that is one of the two fingerprints' own."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 64, 3 * simhash.BLOCK, np.uint64)
+    fp[1::2] = fp[::2]
+    for _ in range(3):                                   # up to three bits apart
+        fp[1::2] ^= np.uint64(1) << rng.integers(0, 64, len(fp) // 2, np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])
+    out = list(simhash._cells(3)([batch.slice(0, 0), batch]))
+    assert len(out) == 3 and max(b.num_rows for b in out) <= 34 * simhash.BLOCK
+    stands = {}
+    for b in out:
+        for cell, f, up in zip(*(c.to_pylist() for c in b.columns)):
+            stands.setdefault(f, {})[cell] = up
+    for x, y in zip(fp[::2].view(np.int64).tolist(), fp[1::2].view(np.int64).tolist()):
+        assert any(not (stands[x][c] and stands[y][c]) for c in stands[x].keys() & stands[y].keys())
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_simhash_links_all_near_pairs(spark, block):
     rng = random.Random(4)
